@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality
+from . import chat, quality, toxicity
 from .bpe import encode_digests
 from .common import read_table
 from .simhash import near_duplicates
@@ -28,10 +28,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(read_table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op5_token_counts, op8_chat_formatting, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op5_token_counts, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
