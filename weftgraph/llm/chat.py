@@ -56,31 +56,35 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     A branch's score is the sum of the scores on its path; ties go to the smaller leaf. `at` counts from 1 at
     the root. A message whose parent isn't in its tree counts as a root. A null tree is a tree of its own.
+    Replies in a circle raise ValueError.
     """
     node = messages.select("tree", "msg", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     there = node.select(F.col("tree").alias("t"), F.col("msg").alias("p")).distinct()
     node = node.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
     node = materialise(node.select("tree", "msg", F.col("p").alias("parent"), "score"))
-    # jump: the message `steps` further up; passed: the scores from here up to, not including, the target
+    # jump: the message `steps` further up; passed: the scores from here up to, not including, the target.
+    # Only jumps that have a target are taken further; `over` holds those whose path is complete.
     jump = node.select("tree", "msg", F.col("parent").alias("to"), F.col("score").alias("passed"), F.lit(1).cast("long").alias("steps"))
-    levels = [jump]
-    while True:
-        on = jump.select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("to").alias("next"), F.col("passed").alias("more"), F.col("steps").alias("further"))
-        wide = jump.join(on, F.col("tree").eqNullSafe(F.col("t")) & (F.col("to") == F.col("m")), "left")
-        jump = materialise(wide.select(
-            "tree", "msg", F.col("next").alias("to"), (F.col("passed") + F.coalesce("more", F.lit(0.0))).alias("passed"),
-            (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-        ))
-        if jump.where("to IS NOT NULL").isEmpty():
-            break
+    levels, over = [], jump.where("to IS NULL")
+    jump = jump.where("to IS NOT NULL")
+    total = node.count()
+    while not jump.isEmpty():
+        if 1 << len(levels) > 2 * total:
+            raise ValueError("replies form a circle")
         levels.append(jump)
-    # now no jump has a target left: `passed` is the score of the whole path and `steps` its length
+        on = jump.unionByName(over).select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("to").alias("next"), F.col("passed").alias("more"), F.col("steps").alias("further"))
+        wide = materialise(jump.join(on, F.col("tree").eqNullSafe(F.col("t")) & (F.col("to") == F.col("m"))).select(
+            "tree", "msg", F.col("next").alias("to"), (F.col("passed") + F.col("more")).alias("passed"), (F.col("steps") + F.col("further")).alias("steps"),
+        ))
+        over = over.unionByName(wide.where("to IS NULL"))
+        jump = wide.where("to IS NOT NULL")
+    # every path is complete: `passed` is its score and `steps` its length
     inner = node.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    leaf = jump.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("msg") == F.col("p")), "left_anti")
+    leaf = over.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("msg") == F.col("p")), "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc("passed"), "msg")
     walk = leaf.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= per_tree).select("tree", "branch", "msg", F.col("steps").alias("at"))
     for k in range(len(levels) - 1, -1, -1):
-        up = levels[k].where("to IS NOT NULL").select(F.col("tree").alias("t"), F.col("msg").alias("m"), "to")
+        up = levels[k].select(F.col("tree").alias("t"), F.col("msg").alias("m"), "to")
         further = walk.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("msg") == F.col("m"))).select(
             "tree", "branch", F.col("to").alias("msg"), (F.col("at") - F.lit(1 << k)).alias("at")
         )
