@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -80,18 +81,18 @@ class BlockMaxIndex:
             least = share * sum(hits.values())
             for w, x in hits.items():
                 postings[self.vocab[w]].append((i, x / least))
-        self.items = [np.array([i for i, _ in p], np.int32) for p in postings]
-        self.impacts = [np.array([x for _, x in p], np.float32) for p in postings]
+        self.items = [[i for i, _ in p] for p in postings]
+        self.impacts = [[x for _, x in p] for p in postings]
         self.n_blocks = (n + block - 1) // block
         self.block_max = np.zeros((len(df), max(1, self.n_blocks)), np.float32)
         for t, (it, x) in enumerate(zip(self.items, self.impacts)):
-            np.maximum.at(self.block_max[t], it // block, x)
-        self.term_max = self.block_max.max(1) if len(df) else np.zeros(0, np.float32)
+            np.maximum.at(self.block_max[t], np.array(it) // block, np.array(x, np.float32))
+        self.term_max: list[float] = self.block_max.max(1).tolist() if len(df) else []
 
     def search(self, query: list[int], blocks: set[int] | None = None) -> list[tuple[int, float]]:
         """(item, score) of all items with a score of 1 or more; `blocks` holds those that may have some."""
         end = len(self.ids)
-        cursors = [[int(self.items[t][0]), 0, t] for t in query if len(self.items[t])]
+        cursors = [[self.items[t][0], 0, t] for t in query]
         found = []
         while True:
             cursors.sort()
@@ -116,7 +117,7 @@ class BlockMaxIndex:
                     upto = min(upto, cursors[pivot + 1][0])
                 self._advance(cursors[: pivot + 1], max(upto, item + 1))
             elif cursors[0][0] == item:
-                score = float(sum(self.impacts[t][p] for _, p, t in cursors[: pivot + 1]))
+                score = sum(self.impacts[t][p] for _, p, t in cursors[: pivot + 1])
                 if score >= 0.9999:
                     found.append((item, score))
                 self._advance(cursors[: pivot + 1], item + 1)
@@ -127,8 +128,9 @@ class BlockMaxIndex:
         end = len(self.ids)
         for c in cursors:
             if c[0] < item:
-                c[1] += int(np.searchsorted(self.items[c[2]][c[1] :], item))
-                c[0] = int(self.items[c[2]][c[1]]) if c[1] < len(self.items[c[2]]) else end
+                held = self.items[c[2]]
+                c[1] = bisect_left(held, item, c[1])
+                c[0] = held[c[1]] if c[1] < len(held) else end
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's and the answer's n-grams that the passage has."""

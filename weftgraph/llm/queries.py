@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, quality, toxicity
+from . import chat, decontaminate, pii, quality, toxicity
 from .bpe import encode_digests
 from .common import read_table
 from .simhash import near_duplicates
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", chat.TRAP), (-7, 1, "assistant", chat.TRAP)], "conv_id long, turn long, role string, text string")
     return chat.conversation_digests(read_table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
@@ -40,6 +44,6 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op5_token_counts, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op5_token_counts, op7_benchmark_decontamination, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
