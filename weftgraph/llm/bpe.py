@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 WHITE_BYTES = b"\x09\x0a\x0b\x0c\x0d\x20"
-MEMO_FRAGMENTS = 500_000
+MEMO_FRAGMENTS = 700_000
 MEMO_LENGTH = 64
 
 _loaded: dict[str, object] = {}
@@ -86,6 +86,9 @@ class ByteBpe:
         w = rb"[\x09-\x0d\x20]"
         n = rb"[^\x09-\x0d\x20]"
         uncut = rb"(?:(?<=[" + b"".join(re.escape(bytes([b])) for b in loose) + rb"])" + w + rb"+" + n + rb"*)*" if len(loose) else b""
+        self.added = [c.encode() for c in plain]
+        self.loose = frozenset(loose.tolist()) | frozenset(WHITE_BYTES)
+        self.sizes = np.array([len(x) for x in self.pieces], np.int64)
         self.split = re.compile(w + rb"*" + n + rb"*" + uncut, re.S).findall
         self.memo: dict[bytes, bytes] = {b"": b""}
 
@@ -96,18 +99,47 @@ class ByteBpe:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self.fragments(t) for t in texts]
         memo = self.memo
-        missing = list({f for p in parts for f in p if f not in memo})
+        distinct = set().union(*parts)
+        missing = [f for f in distinct if f not in memo]
         if len(memo) + len(missing) > self.limit:  # keep what is in use now
-            memo = self.memo = {f: memo[f] for f in {f for p in parts for f in p} if f in memo} | {b"": b""}
+            memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"": b""}
         long = {}
-        for at in range(0, len(missing), 50_000):
-            some = missing[at : at + 50_000]
+        special = [a for a in self.added if any(a.decode() in t for t in texts)]
+        alone, run, held = [], [], 0
+        for f in missing:
+            if len(f) > MEMO_LENGTH or f[0] not in WHITE_BYTES or f[-1] in self.loose or special and any(a in f for a in special):
+                alone.append(f)
+                continue
+            run.append(f)
+            held += len(f)
+            if held >= 500_000:
+                self._encode_run(run, memo, alone)
+                run, held = [], 0
+        self._encode_run(run, memo, alone)
+        for at in range(0, len(alone), 50_000):
+            some = alone[at : at + 50_000]
             for f, e in zip(some, self.lib.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)):
                 (memo if len(f) <= MEMO_LENGTH else long)[f] = np.array(e.ids, "<u4").tobytes()
         if not long:
             return [b"".join(map(memo.__getitem__, p)) for p in parts]
         return [b"".join([memo[f] if f in memo else long[f] for f in p]) for p in parts]
 
+    def _encode_run(self, run: list[bytes], memo: dict[bytes, bytes], alone: list[bytes]) -> None:
+        """Encodes fragments in one text: each starts with white space after a certain pair, so they stay apart."""
+        if not run:
+            return
+        ids = np.array(self.lib.encode_batch_fast([b"".join(run).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wish = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+        at = np.searchsorted(ends, wish)
+        if len(ids) == 0 or at[-1] >= len(ids) or not np.array_equal(ends[at], wish):
+            alone += run
+            return
+        raw, begin = ids.tobytes(), 0
+        for f, end in zip(run, (4 * (at + 1)).tolist()):
+            memo[f] = raw[begin:end]
+            begin = end
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 

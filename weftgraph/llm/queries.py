@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pii, quality, toxicity
+from . import chat, decontaminate, pii, quality, repair, toxicity
 from .bpe import encode_digests
 from .common import read_table
 from .simhash import near_duplicates
@@ -23,6 +23,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op5_token_counts, op7_benchmark_decontamination, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op4_token_id_output, op5_token_counts, op7_benchmark_decontamination, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
