@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pii, quality, repair, toxicity
+from . import chat, decontaminate, lm_score, pii, quality, repair, toxicity
 from .bpe import encode_digests
 from .common import read_table
 from .simhash import near_duplicates
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op4_token_id_output, op5_token_counts, op7_benchmark_decontamination, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_personal_data, op4_token_id_output, op5_token_counts, op6_lm_scoring, op7_benchmark_decontamination, op8_chat_formatting, op9_toxicity, op10_bpe_encode_decode)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_chat_formatting": chat.SQL}
