@@ -191,12 +191,16 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with the ids of each text in a further column; a null text gives no ids, a column named so is replaced."""
+def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with the columns n_tokens, token_ids and decodes (whether the ids decode to the text).
+
+    A null text gives no ids; columns of docs with these names are replaced; nothing else changes.
+    """
     from pyspark.sql import types as T
 
     path = path or tokenizer_path()
-    docs = docs.drop(out)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())]
+    docs = docs.drop(*[f.name for f in added])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +208,9 @@ def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text", o
         for batch in batches:
             for start, texts in groups(batch.column(at)):
                 raw = bpe.encode_many(texts)
-                ends = np.cumsum([0, *[len(r) // 4 for r in raw]])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, ids], names=[*batch.schema.names, out])
+                sizes = [len(r) // 4 for r in raw]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+                same = [bpe.decode(np.frombuffer(r, "<u4").tolist()) == t for r, t in zip(raw, texts)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(sizes, pa.int64()), ids, pa.array(same, pa.bool_())], names=[*batch.schema.names, *[f.name for f in added]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
