@@ -57,6 +57,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _whole(part: bytes) -> bytes:
+    """A fragment from how it is written in lists and the memo."""
+    return part[1:] if part[:1] == b"\0" else b" " + part
+
+
 class ByteBpe:
     """Encodes by forced boundaries and decodes, exactly as the library does for a byte-level BPE file."""
 
@@ -87,13 +92,27 @@ class ByteBpe:
         n = rb"[^\x09-\x0d\x20]"
         uncut = rb"(?:(?<=[" + b"".join(re.escape(bytes([b])) for b in loose) + rb"])" + w + rb"+" + n + rb"*)*" if len(loose) else b""
         self.added = [c.encode() for c in plain]
+        self.starts = frozenset(bytes([b]) for b in WHITE_BYTES)
         self.loose = frozenset(loose.tolist()) | frozenset(WHITE_BYTES)
         self.sizes = np.array([len(x) for x in self.pieces], np.int64)
+        #: what rules out the fast split: NULs, other white space, two in a row, and uncertain pairs
+        self.uneven = [b"\0", *(bytes([c]) for c in WHITE_BYTES if c not in b" \n"), b"  ", b" \n", b"\n ", b"\n\n", *(bytes([c, w]) for c in loose.tolist() for w in b" \n")]
         self.split = re.compile(w + rb"*" + n + rb"*" + uncut, re.S).findall
-        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.memo: dict[bytes, bytes] = {b"\0": b""}
 
     def fragments(self, text: str) -> list[bytes]:
-        return self.split(text.encode("utf-8"))
+        """Parts to encode by themselves, in order.
+
+        Most texts hold single spaces and line feeds only and every pair before them is certain: those are split
+        at spaces, several times as fast as by the pattern. The parts are the same, but those that begin with a
+        space are written without it, and the text's first part, which may begin with a letter, with a NUL before.
+        """
+        raw = text.encode("utf-8")
+        if any(map(raw.__contains__, self.uneven)):
+            return [f[1:] if f[:1] == b" " and f[1:2] != b"\0" else b"\0" + f for f in self.split(raw) if f]
+        parts = raw.replace(b"\n", b" \0\n").split(b" ")
+        parts[0] = b"\0" + parts[0]
+        return parts
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -102,12 +121,12 @@ class ByteBpe:
         distinct = set().union(*parts)
         missing = [f for f in distinct if f not in memo]
         if len(memo) + len(missing) > self.limit:  # keep what is in use now
-            memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"": b""}
+            memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"\0": b""}
         long = {}
         special = [a for a in self.added if any(a.decode() in t for t in texts)]
         alone, run, held = [], [], 0
         for f in missing:
-            if len(f) > MEMO_LENGTH or f[0] not in WHITE_BYTES or f[-1] in self.loose or special and any(a in f for a in special):
+            if len(f) > MEMO_LENGTH or f[:1] in (b"", b"\0") and f[1:2] not in self.starts or f[-1] in self.loose or special and any(a in f for a in special):
                 alone.append(f)
                 continue
             run.append(f)
@@ -118,7 +137,7 @@ class ByteBpe:
         self._encode_run(run, memo, alone)
         for at in range(0, len(alone), 50_000):
             some = alone[at : at + 50_000]
-            for f, e in zip(some, self.lib.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)):
+            for f, e in zip(some, self.lib.encode_batch_fast([_whole(f).decode() for f in some], add_special_tokens=False)):
                 (memo if len(f) <= MEMO_LENGTH else long)[f] = np.array(e.ids, "<u4").tobytes()
         if not long:
             return [b"".join(map(memo.__getitem__, p)) for p in parts]
@@ -128,9 +147,10 @@ class ByteBpe:
         """Encodes fragments in one text: each starts with white space after a certain pair, so they stay apart."""
         if not run:
             return
-        ids = np.array(self.lib.encode_batch_fast([b"".join(run).decode()], add_special_tokens=False)[0].ids, "<u4")
+        whole = [_whole(f) for f in run]
+        ids = np.array(self.lib.encode_batch_fast([b"".join(whole).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.sizes[ids])
-        wish = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+        wish = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
         at = np.searchsorted(ends, wish)
         if len(ids) == 0 or at[-1] >= len(ids) or not np.array_equal(ends[at], wish):
             alone += run
@@ -153,6 +173,13 @@ def byte_bpe(path: str) -> ByteBpe:
     return _loaded["own", path]
 
 
+def forget() -> None:
+    """Empties the memos of this worker."""
+    for key, value in _loaded.items():
+        if key[0] == "own":
+            value.memo = {b"\0": b""}
+
+
 def groups(values: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) of an Arrow column of strings, about `most` bytes at a time; a null becomes an empty text."""
     start, some, held = 0, [], 0

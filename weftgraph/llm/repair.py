@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_bpe, groups, tokenizer_path
+from .bpe import byte_bpe, forget, groups, tokenizer_path
 from .common import partition_count, shared_dir
 
 END_ID = 0
-BLOCK_TOKENS = 1 << 20
-ROUNDS, ROUND_RULES, LEAST_USES = 3, 4096, 8
+BLOCK_TOKENS = 1 << 19
+ROUNDS, ROUND_RULES, LEAST_USES = 2, 4096, 8
 
 FILE_SCHEMA = "shard int, block int, before long, base int, doc_ids array<long>, sizes array<long>, left binary, right binary, lengths binary, symbols binary"
 
@@ -39,7 +39,7 @@ def _pack(values: np.ndarray) -> bytes:
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1).astype(np.int64)
+    return np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1).astype(np.int32)
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +101,8 @@ class Grammar:
 
     def __init__(self, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray):
         self.base, self.lengths = base, lengths
-        self.starts = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64)
-        self.table = np.zeros(int(lengths.sum()), np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int32)
+        self.table = np.zeros(int(lengths.sum()), np.int32)
         # a rule refers to earlier symbols only; all rules of one length are filled in together, short ones first
         for n in np.unique(lengths):
             same = np.flatnonzero(lengths == n)
@@ -113,7 +113,7 @@ class Grammar:
                 self.table[where] = ids
 
     def size(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
+        out = np.ones(len(symbols), np.int32)
         ours = symbols >= self.base
         out[ours] = self.lengths[symbols[ours] - self.base]
         return out
@@ -126,8 +126,8 @@ class Grammar:
         if ours.any():
             width = size[ours]
             total = np.cumsum(width)
-            step = np.arange(int(total[-1])) - np.repeat(total - width, width)
-            out[np.repeat(ends[ours] - width, width) + step] = self.table[np.repeat(self.starts[symbols[ours] - self.base], width) + step]
+            step = np.arange(int(total[-1]), dtype=np.int32) - np.repeat((total - width).astype(np.int32), width)
+            out[np.repeat((ends[ours] - width).astype(np.int32), width) + step] = self.table[np.repeat(self.starts[symbols[ours] - self.base], width) + step]
         return out
 
 
@@ -203,6 +203,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         starts[shard], total = total, total + totals[shard]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # this worker may have encoded before
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
