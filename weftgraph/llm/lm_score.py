@@ -68,7 +68,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def positions(keys: np.ndarray, at_level: int, size: int) -> list[np.ndarray]:
-        h = _mixed(keys + np.uint64(at_level) * _MIX)
+        h = _mixed(keys + np.uint64((at_level * int(_MIX)) & 0xFFFFFFFFFFFFFFFF))
         return [((h >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)).astype(np.int64) % size for i in range(HASHES)]
 
     @staticmethod

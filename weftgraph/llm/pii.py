@@ -110,7 +110,7 @@ def _word(w: str) -> str:
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of an occurrence: shape and the words left, right and around."""
     body = text[start:end]
-    shape = "@" if "@" in body else "x" if re.search(r"[^\W\d_]", body) else "n"
+    shape = "x" if re.search(r"[^\W\d_]", body) else "n"
     left = text[max(0, start - CONTEXT) : start].split()
     right = text[end : end + CONTEXT].split()
     found = []
