@@ -19,7 +19,7 @@ simple("LIST_DISTINCT", lambda a: F.array_distinct(F.array_compact(a)), "(LIST)
 simple("LIST_UNIQUE", lambda a: F.size(F.array_distinct(F.array_compact(a))).cast("long"), "(LIST) -> INT64")
 simple("LIST_ANY_VALUE", lambda a: F.get(F.array_compact(a), F.lit(0)), "(LIST) -> ANY")
 simple("LIST_REVERSE", F.reverse, "(LIST) -> LIST")
-simple("LIST_TO_STRING", lambda sep, a: F.array_join(a.cast("array<string>"), sep), "(STRING,LIST) -> STRING", 2)
+simple("LIST_TO_STRING", lambda sep, a: F.call_function("array_join", a.cast("array<string>"), sep), "(STRING,LIST) -> STRING", 2)
 simple("LIST_HAS_ALL", lambda a, b: F.size(F.array_except(F.array_compact(b), a)) == 0, "(LIST,LIST) -> BOOL", 2)
 
 

@@ -50,7 +50,12 @@ def used_properties(clauses: list) -> dict[str, set[str]]:
     found: dict[str, set[str]] = {}
 
     def visit(e) -> None:
-        if isinstance(e, S.Prop) and isinstance(e.of, S.Var):
+        if isinstance(e, S.Prop) and isinstance(e.of, S.Prop):
+            inner = e.of
+            while isinstance(inner, S.Prop):
+                inner = inner.of
+            visit(inner)  # a nested property: of whatever the variable holds
+        elif isinstance(e, S.Prop) and isinstance(e.of, S.Var):
             found.setdefault(e.of.name, set()).add(e.name)
         elif isinstance(e, S.Var):
             found.setdefault(e.name, set()).add(WHOLE)

@@ -128,7 +128,11 @@ class Compiler:
                     return self.typed(b.col(e.name))
                 if e.name == "_label":
                     return self.typed(b.col("_label"))
+                if self.session.follower:
+                    return self.typed(F.lit(None))
                 raise QueryError(f"Cannot find property {e.name} for {e.of.name}.")
+        if self.session.follower and (meta := _meta_name(e)):
+            return self._prop(S.Prop(S.Var(meta[0]), meta[1]))
         of = self.compile(e.of)
         if isinstance(of.type, T.MapType):
             return self.apply(lambda m: F.element_at(m.c, F.lit(e.name)), of)
@@ -414,6 +418,16 @@ class Compiler:
         return F.min(c) if e.name == "MIN" else F.max(c)
 
 
+def _meta_name(e: S.Prop) -> tuple[str, str] | None:
+    """n._meta.a.b names the column _meta_a_b of n."""
+    parts, of = [e.name], e.of
+    while isinstance(of, S.Prop):
+        parts.append(of.name)
+        of = of.of
+    parts.reverse()
+    return (of.name, "_".join(parts)) if isinstance(of, S.Var) and parts[0] == "_meta" else None
+
+
 def expand_macro(name: str, macro: tuple[list, S.Expr], call: S.Call) -> S.Expr:
     params, body = macro
     if len(call.args) > len(params):
