@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 WHITE_BYTES = b"\x09\x0a\x0b\x0c\x0d\x20"
-MEMO_FRAGMENTS = 700_000
+MEMO_FRAGMENTS = 1_200_000
 MEMO_LENGTH = 64
 
 _loaded: dict[str, object] = {}
@@ -92,7 +92,6 @@ class ByteBpe:
         n = rb"[^\x09-\x0d\x20]"
         uncut = rb"(?:(?<=[" + b"".join(re.escape(bytes([b])) for b in loose) + rb"])" + w + rb"+" + n + rb"*)*" if len(loose) else b""
         self.added = [c.encode() for c in plain]
-        self.starts = frozenset(bytes([b]) for b in WHITE_BYTES)
         self.loose = frozenset(loose.tolist()) | frozenset(WHITE_BYTES)
         self.sizes = np.array([len(x) for x in self.pieces], np.int64)
         #: what rules out the fast split: NULs, other white space, two in a row, and uncertain pairs
@@ -124,17 +123,13 @@ class ByteBpe:
             memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"\0": b""}
         long = {}
         special = [a for a in self.added if any(a.decode() in t for t in texts)]
-        alone, run, held = [], [], 0
-        for f in missing:
-            if len(f) > MEMO_LENGTH or f[:1] in (b"", b"\0") and f[1:2] not in self.starts or f[-1] in self.loose or special and any(a in f for a in special):
-                alone.append(f)
-                continue
-            run.append(f)
-            held += len(f)
-            if held >= 500_000:
-                self._encode_run(run, memo, alone)
-                run, held = [], 0
-        self._encode_run(run, memo, alone)
+        loose = self.loose
+        run = [f for f in missing if f and f[0] and f[-1] not in loose and len(f) <= MEMO_LENGTH]
+        if special:
+            run = [f for f in run if not any(a in f for a in special)]
+        alone = list(set(missing).difference(run)) if len(run) < len(missing) else []
+        for at in range(0, len(run), 50_000):
+            self._encode_run(run[at : at + 50_000], memo, alone)
         for at in range(0, len(alone), 50_000):
             some = alone[at : at + 50_000]
             for f, e in zip(some, self.lib.encode_batch_fast([_whole(f).decode() for f in some], add_special_tokens=False)):
@@ -144,21 +139,17 @@ class ByteBpe:
         return [b"".join([memo[f] if f in memo else long[f] for f in p]) for p in parts]
 
     def _encode_run(self, run: list[bytes], memo: dict[bytes, bytes], alone: list[bytes]) -> None:
-        """Encodes fragments in one text: each starts with white space after a certain pair, so they stay apart."""
-        if not run:
-            return
-        whole = [_whole(f) for f in run]
-        ids = np.array(self.lib.encode_batch_fast([b"".join(whole).decode()], add_special_tokens=False)[0].ids, "<u4")
+        """Encodes fragments that begin with a space in one text: the pairs before are certain, so they stay apart."""
+        text = (b" " + b" ".join(run)).decode()
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.sizes[ids])
-        wish = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+        wish = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
         at = np.searchsorted(ends, wish)
         if len(ids) == 0 or at[-1] >= len(ids) or not np.array_equal(ends[at], wish):
             alone += run
             return
-        raw, begin = ids.tobytes(), 0
-        for f, end in zip(run, (4 * (at + 1)).tolist()):
-            memo[f] = raw[begin:end]
-            begin = end
+        raw, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+        memo.update(zip(run, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
