@@ -16,10 +16,12 @@ import hashlib
 import json
 import os
 import re
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _whole(part: bytes) -> bytes:
-    """A fragment from how it is written in lists and the memo."""
-    return part[1:] if part[:1] == b"\0" else b" " + part
-
-
 class ByteBpe:
     """Encodes by forced boundaries and decodes, exactly as the library does for a byte-level BPE file."""
 
@@ -94,34 +91,68 @@ class ByteBpe:
         self.added = [c.encode() for c in plain]
         self.loose = frozenset(loose.tolist()) | frozenset(WHITE_BYTES)
         self.sizes = np.array([len(x) for x in self.pieces], np.int64)
-        #: what rules out the fast split: NULs, other white space, two in a row, and uncertain pairs
-        self.uneven = [b"\0", *(bytes([c]) for c in WHITE_BYTES if c not in b" \n"), b"  ", b" \n", b"\n ", b"\n\n", *(bytes([c, w]) for c in loose.tolist() for w in b" \n")]
+        #: what rules out the quick split: NULs and \\1, other white space, and two in a row
+        self.uneven = [b"\0", b"\1", *(bytes([c]) for c in WHITE_BYTES if c not in b" \n"), b"  ", b" \n", b"\n ", b"\n\n", *(bytes([c, 10]) for c in loose.tolist())]
+        self.uncut = [(bytes([c, 32]), bytes([c, 1])) for c in loose.tolist()]
         self.split = re.compile(w + rb"*" + n + rb"*" + uncut, re.S).findall
         self.memo: dict[bytes, bytes] = {b"\0": b""}
 
     def fragments(self, text: str) -> list[bytes]:
-        """Parts to encode by themselves, in order.
+        """Parts to encode by themselves, in order, as they are written in the memo.
+
+        One that begins with a space is written without it, others with a NUL before, or two NULs where its own
+        bytes could be taken for marks.
+        """
+
+        def written(f: bytes) -> bytes:
+            if b"\1" in f or f[:1] == b"\0":
+                return b"\0\0" + f
+            return f[1:] if f[:1] == b" " and f[1:2] != b"\0" else b"\0" + f
+
+        return [written(f) for f in self.split(text.encode("utf-8")) if f]
 
-        Most texts hold single spaces and line feeds only and every pair before them is certain: those are split
-        at spaces, several times as fast as by the pattern. The parts are the same, but those that begin with a
-        space are written without it, and the text's first part, which may begin with a letter, with a NUL before.
+    def _spaced(self, text: str) -> bytes | None:
+        """The text's fragments with spaces between, if it holds single spaces and line feeds only; else None.
+
+        Spaces after an uncertain byte, where no cut may be, are written as \\1.
         """
         raw = text.encode("utf-8")
         if any(map(raw.__contains__, self.uneven)):
-            return [f[1:] if f[:1] == b" " and f[1:2] != b"\0" else b"\0" + f for f in self.split(raw) if f]
-        parts = raw.replace(b"\n", b" \0\n").split(b" ")
-        parts[0] = b"\0" + parts[0]
-        return parts
+            return None
+        for pair, kept in self.uncut:
+            raw = raw.replace(pair, kept)
+        return b"\0" + raw.replace(b"\n", b" \0\n")
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.fragments(t) for t in texts]
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Most texts are split, and their fragments made distinct, in Arrow; Python only sees distinct fragments.
+        """
+        spaced = [self._spaced(t) for t in texts]
+        odd = {i: self.fragments(t) for i, (s, t) in enumerate(zip(spaced, texts)) if s is None}
+        lists = pc.split_pattern(pa.array([b"\0" if s is None else s for s in spaced], pa.binary()), b" ")
+        coded = lists.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        extra = set().union(*odd.values()).difference(distinct) if odd else ()
+        known = self._known([*distinct, *extra], texts)
+        values = [known[f] for f in distinct]
+        table = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        width = size[at]
+        ends = np.concatenate(([0], np.cumsum(width)))
+        where = np.arange(int(ends[-1])) + np.repeat(start[at] - ends[:-1], width)
+        raw = table[where].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [b"".join(map(known.__getitem__, odd[i])) if i in odd else raw[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def _known(self, distinct: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
+        """The memo (with this call's long fragments), holding at least these fragments."""
         memo = self.memo
-        distinct = set().union(*parts)
         missing = [f for f in distinct if f not in memo]
         if len(memo) + len(missing) > self.limit:  # keep what is in use now
             memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"\0": b""}
-        long = {}
         special = [a for a in self.added if any(a.decode() in t for t in texts)]
         loose = self.loose
         run = [f for f in missing if f and f[0] and f[-1] not in loose and len(f) <= MEMO_LENGTH]
@@ -130,17 +161,23 @@ class ByteBpe:
         alone = list(set(missing).difference(run)) if len(run) < len(missing) else []
         for at in range(0, len(run), 50_000):
             self._encode_run(run[at : at + 50_000], memo, alone)
+        long = {}
         for at in range(0, len(alone), 50_000):
             some = alone[at : at + 50_000]
-            for f, e in zip(some, self.lib.encode_batch_fast([_whole(f).decode() for f in some], add_special_tokens=False)):
+            for f, e in zip(some, self.lib.encode_batch_fast([self._whole(f).decode() for f in some], add_special_tokens=False)):
                 (memo if len(f) <= MEMO_LENGTH else long)[f] = np.array(e.ids, "<u4").tobytes()
-        if not long:
-            return [b"".join(map(memo.__getitem__, p)) for p in parts]
-        return [b"".join([memo[f] if f in memo else long[f] for f in p]) for p in parts]
+        return ChainMap(long, memo) if long else memo
+
+    @staticmethod
+    def _whole(part: bytes) -> bytes:
+        """A fragment from how it is written in the memo."""
+        if part[:2] == b"\0\0":
+            return part[2:]
+        return (part[1:] if part[:1] == b"\0" else b" " + part).replace(b"\1", b" ")
 
     def _encode_run(self, run: list[bytes], memo: dict[bytes, bytes], alone: list[bytes]) -> None:
         """Encodes fragments that begin with a space in one text: the pairs before are certain, so they stay apart."""
-        text = (b" " + b" ".join(run)).decode()
+        text = (b" " + b" ".join(run)).replace(b"\1", b" ").decode()
         ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.sizes[ids])
         wish = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)

@@ -27,6 +27,8 @@ from .common import partition_count, shared_dir
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
+#: Characters that are encoded at once: the more, the fewer distinct fragments for each.
+GROUP_CHARS = 16_000_000
 ROUNDS, ROUND_RULES, LEAST_USES = 2, 4096, 8
 
 FILE_SCHEMA = "shard int, block int, before long, base int, doc_ids array<long>, sizes array<long>, left binary, right binary, lengths binary, symbols binary"
@@ -171,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, shards:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for start, texts in groups(batch.column(1)):
+            for start, texts in groups(batch.column(1), GROUP_CHARS):
                 for i, ids in zip(batch.column(0).slice(start, len(texts)).to_pylist(), bpe.encode_many(texts)):
                     doc_ids.append(i)
                     sizes.append(len(ids) // 4 + 1)
