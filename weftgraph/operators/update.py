@@ -102,12 +102,17 @@ def with_ids(table: RelTable, pair: tuple[str, str]) -> DataFrame:
     return df
 
 
+def _id_base(session: Session) -> int:
+    """Where the ids of the next batch of relationships begin: no two batches share any."""
+    session.catalog.version += 1
+    return session.catalog.version << 43
+
+
 def append_rels(session: Session, table: RelTable, pair: tuple[str, str], new: DataFrame) -> None:
     old = with_ids(table, pair)
-    session.catalog.version += 1
-    base = session.catalog.version << 43
-    made = materialise(new.withColumn("_rid", F.monotonically_increasing_id() + F.lit(base)).select(*old.columns))
-    table.frames[pair] = materialise(old.unionByName(made))
+    if "_rid" not in new.columns:
+        new = new.withColumn("_rid", F.monotonically_increasing_id() + F.lit(_id_base(session)))
+    table.frames[pair] = materialise(old.unionByName(new.select(*old.columns)))
     sides = {"MANY_ONE": ["_src"], "ONE_MANY": ["_dst"], "ONE_ONE": ["_src", "_dst"]}.get(table.multiplicity, [])
     for side in sides:
         bad = table.frames[pair].groupBy(side).count().where("count > 1").first()
@@ -151,15 +156,13 @@ def create(session: Session, patterns: list[S.Path], scope: Scope, params: dict)
             c = Compiler(session, out, params)
             cols = {f"{r.var}${d.name}": _value(session, c, d, r.props.get(d.name), d.name) for d in table.columns}
             cols |= {f"{r.var}$_src": src.col("_key"), f"{r.var}$_dst": dst.col("_key"), f"{r.var}$_label": F.lit(table.name), f"{r.var}$_slabel": src.col("_label"), f"{r.var}$_dlabel": dst.col("_label")}
-            session.catalog.version += 1
-            base = session.catalog.version << 43
-            out.df = materialise(out.df.withColumns(cols).withColumn(f"{r.var}$_rid", F.monotonically_increasing_id() + F.lit(base)))
+            out.df = materialise(out.df.withColumns(cols).withColumn(f"{r.var}$_rid", F.monotonically_increasing_id() + F.lit(_id_base(session))))
             fits = [p for p in table.frames if p[0] in src.labels and p[1] in dst.labels]
             if not fits:
                 raise QueryError(f"{table.name} does not connect {src.labels} and {dst.labels}.")
             for pair in fits:
                 rows = out.df.where((F.col(f"`{r.var}$_slabel`") == pair[0]) & (F.col(f"`{r.var}$_dlabel`") == pair[1]))
-                append_rels(session, table, pair, rows.select(*[F.col(f"`{r.var}${x}`").alias(x) for x in ("_src", "_dst", *table.props)]))
+                append_rels(session, table, pair, rows.select(*[F.col(f"`{r.var}${x}`").alias(x) for x in ("_src", "_dst", "_rid", *table.props)]))
             out.vars[r.var] = Bound("rel", r.var, [table.name], table.props, (src.name, dst.name))
     return out
 

@@ -283,12 +283,12 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     "rec_all_shortest": (
         graphs.trade,
         "MATCH (a:Nation)-[e:TRADES* ALL SHORTEST 1..8]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(e) AS n, count(*) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, 1 AS n FROM t UNION ALL SELECT w.f, t.d, w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 4), m AS (SELECT f, d, min(n) AS n FROM w WHERE f <> d GROUP BY 1, 2) SELECT w.f AS a, w.d AS b, w.n, count(*) AS c FROM w JOIN m ON w.f = m.f AND w.d = m.d AND w.n = m.n GROUP BY 1, 2, 3",
+        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, 1 AS n FROM t UNION ALL SELECT w.f, t.d, w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 8), m AS (SELECT f, d, min(n) AS n FROM w WHERE f <> d GROUP BY 1, 2) SELECT w.f AS a, w.d AS b, w.n, count(*) AS c FROM w JOIN m ON w.f = m.f AND w.d = m.d AND w.n = m.n GROUP BY 1, 2, 3",
     ),
     "rec_wshortest": (
         graphs.trade,
         "MATCH (a:Nation)-[e:TRADES* WSHORTEST(n) 1..8]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, CAST(n AS DOUBLE) AS c, [f, d] AS seen FROM t WHERE f <> d UNION ALL SELECT w.f, t.d, w.c + t.n, list_append(seen, t.d) FROM w JOIN t ON t.f = w.d WHERE len(seen) < 6 AND NOT list_contains(seen, t.d)) SELECT f AS a, d AS b, min(c) AS c FROM w GROUP BY 1, 2",
+        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, CAST(n AS DOUBLE) AS c, [f, d] AS seen FROM t WHERE f <> d UNION ALL SELECT w.f, t.d, w.c + t.n, list_append(seen, t.d) FROM w JOIN t ON t.f = w.d WHERE len(seen) < 9 AND NOT list_contains(seen, t.d)) SELECT f AS a, d AS b, min(c) AS c FROM w GROUP BY 1, 2",
     ),
     "call_show_tables": (graphs.trade, "CALL show_tables() RETURN name, type", "SELECT 'Nation' AS name, 'NODE' AS type UNION ALL SELECT 'TRADES', 'REL'"),
     "call_table_info": (graphs.commerce, "CALL table_info('Region') RETURN name, type, `primary key` AS pk", "SELECT 'r_regionkey' AS name, 'INT32' AS type, true AS pk UNION ALL SELECT 'r_name', 'STRING', false"),
