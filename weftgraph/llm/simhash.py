@@ -27,6 +27,8 @@ SEGMENTS, SEGMENT_BITS = 16, 4
 #: Cells with more fingerprints are verified by flipped bits instead of pairs.
 PAIR_CELL = 48
 SEED = 42
+#: Fingerprints with more than this share of all rows, fewer than HOT_SHARE of them, are joined by broadcast.
+HOT_SHARE = 1024
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -108,13 +110,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     fps = materialise(fingerprints(docs, id_col, text_col))
-    groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     label = connected_components(links(groups.select("fp")))
     linked = groups.join(label.withColumnRenamed("node", "fp"), "fp")
     root = linked.groupBy("root").agg(F.min("least").alias("least_of_root"))
     named = linked.join(root, "root").select("fp", "least_of_root")
-    known = groups.join(named, "fp", "left").select("fp", F.coalesce("least_of_root", "least").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_of_root", "least").alias("component_id"))
+    known = materialise(known)
+    # a fingerprint of many copies would send their rows to one task: the few that can be so frequent are broadcast
+    least_hot = fps.count() / HOT_SHARE
+    hot = F.broadcast(known.where(F.col("n") > least_hot).drop("n"))
+    cold = known.where(F.col("n") <= least_hot).drop("n")
+    found = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(cold, "fp"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
