@@ -242,10 +242,15 @@ class Matcher:
                 out.df = out.df.where(out.vars[n].col("_label").isin(sorted(nodes[n].labels)))
             if n in scope.vars and nodes[n].props:
                 out.df = out.df.where(self._inline(n, nodes[n].props, out))
+        wish = {name: i for i, name in enumerate(_hinted(hint))}
+        if unknown := set(wish) - set(nodes) - {e.var for e in edges}:
+            raise QueryError(f"Cannot bind {min(unknown)} to a node or relationship of the pattern.")
+        turn = lambda e: min(wish.get(x, len(wish)) for x in (e.var, e.a, e.b)) if e.var not in wish else wish[e.var]
         while left or todo:
-            step = next((e for e in left if e.a in out.vars and e.b in out.vars), None) or next((e for e in left if e.a in out.vars or e.b in out.vars), None)
+            closing = [e for e in left if e.a in out.vars and e.b in out.vars]
+            step = min(closing or [e for e in left if e.a in out.vars or e.b in out.vars], key=turn, default=None)
             if step is None:
-                start = min(todo, key=lambda n: self._rank(nodes[n], left))
+                start = min(todo, key=lambda n: (wish.get(n, len(wish)), *self._rank(nodes[n], left)))
                 self._start(nodes[start], out)
                 todo.remove(start)
                 continue
@@ -387,6 +392,7 @@ class Matcher:
             mids = self.node_frame(nb)
             on = F.col("`_e$_to`") == F.col("`_m$_key`")
             frame = frame.join(mids, on & (F.col("`_e$_tlabel`") == F.col("`_m$_label`")) if many else on)
+            rb, nb = _only(rb, r.rel_items, r.rel_var), _only(nb, r.node_items, r.node_var)
             cols += [rel_struct(self.session, rb).alias("rel"), node_struct(self.session, nb).alias("mid")]
         edges = frame.select(*cols)
         here = out.vars[start]
@@ -460,6 +466,15 @@ class Matcher:
         out.df = out.df.withColumn(path.var, F.struct(joined(node_parts).alias("_NODES"), joined(rel_parts).alias("_RELS")))
 
 
+def _hinted(hint) -> list[str]:
+    """The variables of a join hint in the order in which they are written: joins are made in that order."""
+    if hint is None:
+        return []
+    if isinstance(hint, str):
+        return [hint]
+    return [*_hinted(hint[0]), *_hinted(hint[2])]
+
+
 def _merged(kinds: list[T.DataType]) -> T.DataType:
     if all(k == kinds[0] for k in kinds):
         return kinds[0]
@@ -468,6 +483,16 @@ def _merged(kinds: list[T.DataType]) -> T.DataType:
     return super_type(kinds)
 
 
+def _only(b: Bound, items: list[S.Item] | None, var: str | None) -> Bound:
+    """The element with the properties that the recursive pattern projects, all of them if it projects none."""
+    if items is None:
+        return b
+    names = [i.expr.name for i in items if isinstance(i.expr, S.Prop) and isinstance(i.expr.of, S.Var) and i.expr.of.name == var]
+    if len(names) < len(items) or set(names) - set(b.props):
+        raise QueryError("a recursive pattern projects properties of its own variables")
+    return Bound(b.kind, b.name, b.labels, {n: b.props[n] for n in names}, b.ends)
+
+
 def _renamed(b: Bound, column: str) -> Bound:
     return Bound(b.kind, column, b.labels, b.props, b.ends)
 

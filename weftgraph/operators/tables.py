@@ -30,7 +30,7 @@ def table_function(names: str):
 
 
 def call_table(session: Session, clause: S.InCall, params: dict) -> DataFrame:
-    f = TABLES.get(clause.name.upper())
+    f = session.table_functions.get(clause.name.upper()) or TABLES.get(clause.name.upper())
     if f is None:
         raise QueryError(f"function {clause.name} does not exist.")
     c = Compiler(session, Scope(None, {}), params)

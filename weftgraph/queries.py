@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import graphs
+from .statements import projected_session
+from .storage import shared_dir
+from .streaming.follower import FollowerStore
 
 _TRADES = """
 flows AS (
@@ -320,9 +324,91 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
 }
 
 
+TEXTS |= {
+    "join_hint": (
+        graphs.commerce,
+        "MATCH (s:Supplier)-[e:SUPP_IN]->(n:Nation)<-[f:CUST_IN]-(c:Customer) WHERE n.n_nationkey < 5 HINT ((n JOIN e) JOIN s) JOIN (f JOIN c) RETURN n.n_nationkey AS k, count(*) AS n",
+        "SELECT n_nationkey AS k, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 5 GROUP BY 1",
+    ),
+    "rec_undirected": (
+        graphs.talk,
+        "MATCH (a:Turn {turn: 1})-[e:NEXT_TURN*TRAIL 1..2]-(b:Turn) RETURN a.id AS k, count(*) AS n",
+        f"WITH {_TURNS}, u AS (SELECT f, d, f AS r FROM e UNION ALL SELECT d, f, f FROM e), w AS (SELECT f FROM u UNION ALL SELECT x.f FROM u x JOIN u y ON x.d = y.f AND x.r <> y.r) SELECT f AS k, count(*) AS n FROM w JOIN turn ON id = f AND turn = 1 GROUP BY 1",
+    ),
+    "rec_all_wshortest": (
+        graphs.activity,
+        "MATCH (a:Event)-[e:NEXT_EVENT* ALL WSHORTEST(gap_s) 1..3]->(b:Event) WHERE a.user_id < 20 RETURN a.event_id AS a, b.event_id AS b, cost(e) AS c, length(e) AS n",
+        "WITH x AS (SELECT event_id AS f, user_id, lead(event_id) OVER w AS d, epoch_us(date_trunc('second', lead(ts) OVER w)) // 1000000 - epoch_us(date_trunc('second', ts)) // 1000000 AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), e AS (SELECT * FROM x WHERE d IS NOT NULL AND user_id < 20), w AS (SELECT f, d, g AS c, 1 AS n FROM e UNION ALL SELECT a.f, b.d, a.g + b.g, 2 FROM e a JOIN e b ON a.d = b.f UNION ALL SELECT a.f, c.d, a.g + b.g + c.g, 3 FROM e a JOIN e b ON a.d = b.f JOIN e c ON b.d = c.f) SELECT f AS a, d AS b, CAST(c AS DOUBLE) AS c, n FROM w",
+    ),
+    "rec_zero_length": (
+        graphs.talk,
+        "MATCH (a:Turn)-[e:NEXT_TURN*0..2]->(b:Turn) RETURN length(e) AS n, count(*) AS c",
+        f"WITH {_TURNS} SELECT 0 AS n, count(*) AS c FROM turn UNION ALL SELECT 1, count(*) FROM e UNION ALL SELECT 2, count(*) FROM e x JOIN e y ON x.d = y.f",
+    ),
+    "union_over_patterns": (
+        graphs.commerce,
+        "MATCH (o:Orders)-[:SHIPPED_BY]->(s:Supplier) WHERE s.s_suppkey < 5 RETURN s.s_suppkey AS k, count(DISTINCT o) AS n UNION ALL MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) WHERE s.s_suppkey < 5 RETURN s.s_suppkey AS k, count(*) AS n",
+        "SELECT l_suppkey AS k, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey < 5 GROUP BY 1 UNION ALL SELECT l_suppkey, count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey < 5 GROUP BY 1",
+    ),
+    "dependent_group_keys": (
+        graphs.commerce,
+        "MATCH (c:Customer)-[:PLACED]->(o:Orders) WITH c, sum(o.o_totalprice) AS s RETURN c.c_name AS name, c.c_acctbal AS b, round(s, 2) AS s ORDER BY s DESC LIMIT 20",
+        "SELECT c_name AS name, c_acctbal AS b, round(sum(o_totalprice), 2) AS s FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_acctbal ORDER BY sum(o_totalprice) DESC LIMIT 20",
+    ),
+    "nested_values": (
+        graphs.commerce,
+        "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, collect({k: n.n_nationkey, name: n.n_name}) AS l RETURN r.r_name AS name, size(l) AS z, list_to_string(',', list_sort(list_transform(l, x -> x.k))) AS ks",
+        "SELECT r_name AS name, count(*) AS z, string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS ks FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
+    ),
+}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads a file by LOAD FROM, copies it into a node table, writes and reads it as CSV."""
+    s = graphs.Session(spark)
+    out = f"{shared_dir(spark)}/copied-{uuid.uuid4().hex}.csv"
+    s.query("CREATE NODE TABLE Cust(id INT64, name STRING, bal DOUBLE, PRIMARY KEY(id))")
+    s.query(f"COPY Cust FROM (LOAD FROM '{sf_dir}/customer.parquet' WHERE c_acctbal > 0 RETURN c_custkey, c_name, c_acctbal)")
+    s.query(f"COPY (MATCH (c:Cust) RETURN c.id AS id, c.name AS name, c.bal AS bal) TO '{out}' (HEADER=true, DELIM='|')")
+    return s.query(f"LOAD WITH HEADERS (id INT64, name STRING, bal DOUBLE) FROM '{out}' (HEADER=true, DELIM='|') RETURN id, name, bal")
+
+
+def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projected graph: some tables under predicates."""
+    s = graphs.commerce(spark, sf_dir)
+    s.query("CALL project_graph('rich', {Customer: 'n.c_acctbal > 5000', Orders: ''}, {PLACED: ''})")
+    return projected_session(s, "rich").query("MATCH (c)-[:PLACED]->(o) RETURN c.c_mktsegment AS seg, count(*) AS n")
+
+
+def _database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports a database, attaches the copy and queries it."""
+    s, path = graphs.trade(spark, sf_dir), f"{shared_dir(spark)}/db-{uuid.uuid4().hex}"
+    s.query(f"EXPORT DATABASE '{path}'")
+    other = graphs.Session(spark)
+    return other.query(f"ATTACH '{path}' AS copy; USE DATABASE copy; MATCH (a:Nation)-[t:TRADES]->(b:Nation) RETURN a.n_name AS a, b.n_name AS b, t.n AS n")
+
+
+def _follower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The follower store: nations as nodes of the log, then one deleted, then a query under its rules."""
+    store = FollowerStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    store.insert_nodes([(f"n{r.n_nationkey}", "Nation", {"name": r.n_name, "region": r.n_regionkey if r.n_regionkey != 2 else None}) for r in rows])
+    store.delete_node("n3")
+    return store.query("MATCH (n:Nation) WHERE n.region = NULL OR n.region <> 1 RETURN id(n) AS id, n.name AS name, n.region AS region")
+
+
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "files_copy_and_load": (_files, "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal > 0"),
+    "projected_graph": (_projected, "SELECT c_mktsegment AS seg, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY 1"),
+    "export_attach_database": (_database, f"WITH {_TRADES} SELECT a.n_name AS a, b.n_name AS b, t.n FROM t JOIN nation a ON a.n_nationkey = f JOIN nation b ON b.n_nationkey = d"),
+    # the follower's equality with NULL is true or false, its OR is NULL only if a side is, and neither is here
+    "follower_store": (_follower, "SELECT 'n' || n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey <> 2 THEN CAST(n_regionkey AS BIGINT) END AS region FROM nation WHERE n_regionkey <> 1 AND n_nationkey <> 3"),
+}
+
+
 def _query(graph: Callable, text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: graph(spark, sf_dir).query(text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(graph, text) for name, (graph, text, _) in TEXTS.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in TEXTS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(graph, text) for name, (graph, text, _) in TEXTS.items()} | {name: f for name, (f, _) in OTHERS.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in TEXTS.items()} | {name: sql for name, (_, sql) in OTHERS.items()}

@@ -39,6 +39,7 @@ class Session:
         self.saved: GraphCatalog | None = None
         self.read_only = False
         self.profile: dict[str, Any] = {}
+        self.table_functions: dict[str, Any] = {}
 
     # --- what matching reads
     def node_labels(self) -> list[str]:
@@ -149,6 +150,10 @@ class Session:
         udf = f if hasattr(f, "evalType") or hasattr(f, "returnType") else F.udf(f, kind)
         self.catalog.udfs[name.upper()] = udf
 
+    def create_table_function(self, name: str, f: Any) -> None:
+        """A table function for CALL: a Python UDTF, or a function of the session and the arguments to a frame."""
+        self.table_functions[name.upper()] = (lambda session, *args: f(*[F.lit(a) for a in args])) if hasattr(f, "returnType") else f
+
     def timed(self, statement: Any, params: dict) -> DataFrame:
         began = time.time()
         df = self.run(statement, params)
