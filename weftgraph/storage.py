@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written once to the shared folder as Parquet and read from there.
 
@@ -28,4 +31,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what this process has written by materialise(); frames read from there can't be used any more."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
