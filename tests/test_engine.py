@@ -150,6 +150,16 @@ def test_subqueries(diamond):
     assert values(diamond.query("MATCH (n:N) OPTIONAL MATCH (n)-[r:R]->(m) WHERE r.w > n.x RETURN n.id, count(m) ORDER BY n.id")) == [("a", 2), ("b", 0), ("c", 0), ("d", 0)]
 
 
+def test_counting_without_matches(diamond):
+    """A query that only counts gives what one that makes every match gives."""
+    for pattern in ("(a:N)-[:R]->(b)-[:R]->(c)", "(a:N)-[:R]->(b), (a)-[:R]->(c)", "(a:N)<-[:R]-(b:N)-[:R]->(c:N)-[:R]->(d)", "(a:N)-[:R]->(b)-[:R]->(c), (a)-[:R]->(c)", "(a:N)-[:R]-(b)-[:R]-(c)"):
+        want = dict(values(diamond.query(f"MATCH {pattern} RETURN a.id, count(b.x)")))
+        assert dict(values(diamond.query(f"MATCH {pattern} RETURN a.id, count(*)"))) == want
+        assert one(diamond, f"MATCH {pattern} RETURN count(*)") == sum(want.values())
+        assert one(diamond, f"MATCH {pattern} WHERE a.x > 1 RETURN count(*)") == sum(n for k, n in want.items() if k != "a")
+    assert one(diamond, "MATCH (a:N {id: 'd'})-[:R]->(b) RETURN count(*)") == 0
+
+
 # --- changes
 def test_merge_set_delete(spark):
     s = graph(spark, "CREATE NODE TABLE P(id INT64, n INT64 DEFAULT 5, s STRING, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P, since INT64, MANY_ONE)")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import syntax as S
-from ..plans.compile import Compiler, node_struct, rel_struct
+from ..plans.compile import AGGREGATES, Compiler, node_struct, rel_struct
 from ..plans.lexer import QueryError
 from ..plans.types import cast
 from .recursive import Spec, traverse
@@ -46,7 +46,7 @@ class EdgeSpec:
 
 
 def used_properties(clauses: list) -> dict[str, set[str]]:
-    """What each variable is used for: property names, or WHOLE. Ids, labels and counts need no property."""
+    """What each variable is used for: property names, WHOLE, or "=" where its id or label will do."""
     found: dict[str, set[str]] = {}
 
     def visit(e) -> None:
@@ -62,7 +62,7 @@ def used_properties(clauses: list) -> dict[str, set[str]]:
         elif isinstance(e, S.Star):
             found.setdefault(e.of or WHOLE, set()).add(WHOLE)
         elif isinstance(e, S.Call) and e.name in ("ID", "LABEL", "LABELS", "COUNT", "LENGTH", "COST", "IS NULL", "IS NOT NULL") and len(e.args) == 1 and isinstance(e.args[0], S.Var):
-            found.setdefault(e.args[0].name, set())
+            found.setdefault(e.args[0].name, set()).add("=")
         elif isinstance(e, S.Call) and e.name in ("=", "<>") and all(isinstance(a, S.Var) for a in e.args):
             for a in e.args:
                 found.setdefault(a.name, set()).add("=")
@@ -105,9 +105,21 @@ def used_properties(clauses: list) -> dict[str, set[str]]:
     return found
 
 
+#: Rows of a folded match stand for so many matches.
+WEIGHT = "__weight"
+
+
+def only_counts(clauses: list) -> bool:
+    """Whether a query is one MATCH whose RETURN only counts rows, so that matches may be counted without being made."""
+    if len(clauses) != 2 or not isinstance(clauses[0], S.Match) or clauses[0].optional or not isinstance(clauses[1], S.Return):
+        return False
+    calls = [x for i in clauses[1].body.items for x in S.walk(i.expr) if isinstance(x, S.Call) and x.name in AGGREGATES]
+    return bool(calls) and all(c.name == "COUNT_STAR" for c in calls) and not any(isinstance(x, S.Star) for x in S.walk(clauses[1]))
+
+
 class Matcher:
-    def __init__(self, session: Session, used: dict[str, set[str]], params: dict):
-        self.session, self.catalog, self.used, self.params = session, session.catalog, used, params
+    def __init__(self, session: Session, used: dict[str, set[str]], params: dict, fold: bool = False):
+        self.session, self.catalog, self.used, self.params, self.fold = session, session.catalog, used, params, fold
 
     # --- frames
     def node_bound(self, var: str, labels: set[str]) -> Bound:
@@ -236,7 +248,9 @@ class Matcher:
         nodes, edges = self.graph(patterns, scope)
         out = Scope(scope.df, dict(scope.vars))
         left = list(edges)
-        todo = [n for n in nodes if n not in scope.vars]
+        folded = self._fold(nodes, left, scope) if self.fold and not hint and not any(p.var for p in patterns) else {}
+        gone = {b for pairs in folded.values() for _, b in pairs}
+        todo = [n for n in nodes if n not in scope.vars and n not in gone]
         for n in nodes:
             if n in scope.vars and nodes[n].labels < set(scope.vars[n].labels):
                 out.df = out.df.where(out.vars[n].col("_label").isin(sorted(nodes[n].labels)))
@@ -257,11 +271,54 @@ class Matcher:
             left.remove(step)
             (self._recur if step.pattern.recursion else self._extend)(step, nodes, out)
             todo = [n for n in todo if n not in out.vars]
+        for n in [n for n in folded if n in out.vars]:
+            for e, b in folded[n]:
+                self._weigh(out, n, self._counted(e, n, b, nodes, folded))
         for path in patterns:
             if path.var:
                 self._path(path, out)
         return out
 
+    # --- counting without making matches
+    def _fold(self, nodes: dict[str, NodeSpec], left: list[EdgeSpec], scope: Scope) -> dict[str, list[tuple[EdgeSpec, str]]]:
+        """Takes branches that only multiply the matches out of `left`: node -> (edge, far node) of its branches."""
+        folded: dict[str, list[tuple[EdgeSpec, str]]] = {}
+        found = True
+        while found:
+            found = False
+            for e in list(left):
+                if e.pattern.recursion or e.pattern.props or self.used.get(e.var) or e.a == e.b:
+                    continue
+                for b, a in ((e.b, e.a), (e.a, e.b)):
+                    alone = sum(b in (x.a, x.b) for x in left) == 1
+                    if alone and b not in scope.vars and not self.used.get(b) and not nodes[b].props:
+                        left.remove(e)
+                        folded.setdefault(a, []).append((e, b))
+                        found = True
+                        break
+        return folded
+
+    def _counted(self, e: EdgeSpec, near: str, far: str, nodes: dict[str, NodeSpec], folded: dict) -> DataFrame:
+        """(k, l, w): for each near node how many ways there are to match the branch."""
+        v = e.var
+        frame = self.rel_frame(e, Bound("rel", v, list(e.tables), {}), nodes)
+        ends = ("_from", "_flabel"), ("_to", "_tlabel")
+        (k, lab), (fk, fl) = ends if near == e.a else ends[::-1]
+        frame = frame.select(F.col(f"`{v}${k}`").alias("k"), F.col(f"`{v}${lab}`").alias("l"), F.col(f"`{v}${fk}`").alias("fk"), F.col(f"`{v}${fl}`").alias("fl"), F.lit(1).cast("long").alias("w"))
+        for e2, b2 in folded.get(far, []):
+            more = self._counted(e2, far, b2, nodes, folded).select(F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("w").alias("w2"))
+            frame = frame.join(more, (F.col("fk") == F.col("k2")) & (F.col("fl") == F.col("l2"))).withColumn("w", F.col("w") * F.col("w2")).drop("k2", "l2", "w2")
+        return frame.groupBy("k", "l").agg(F.sum("w").alias("w"))
+
+    def _weigh(self, out: Scope, n: str, counts: DataFrame) -> None:
+        held = out.vars[n]
+        on = held.col("_key") == F.col("k")
+        if len(held.labels) > 1:
+            on = on & (held.col("_label") == F.col("l"))
+        joined = out.df.join(counts, on)
+        weight = F.col("w") * F.col(WEIGHT) if WEIGHT in out.df.columns else F.col("w")
+        out.df = joined.withColumn(WEIGHT, weight).drop("k", "l", "w")
+
     def _rank(self, spec: NodeSpec, edges: list[EdgeSpec]) -> tuple[int, int]:
         keys = {self.catalog.nodes[n].key for n in spec.labels}
         selective = 0 if set(spec.props) & keys else 1 if spec.props else 2 if any(spec.var in (e.a, e.b) for e in edges) else 3

@@ -384,6 +384,8 @@ class Compiler:
     # --- aggregates, when the projection has asked for them
     def aggregate(self, e: S.Call) -> Column:
         if e.name == "COUNT_STAR":
+            if "__weight" in self.scope.df.columns:  # rows stand for several matches
+                return F.coalesce(F.sum("__weight"), F.lit(0)).cast("long")
             return F.count(F.lit(1))
         if any(contains_aggregate(a) for a in e.args):
             raise QueryError("aggregates can't be nested")

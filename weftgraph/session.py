@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import GraphCatalog
 from .operators import subquery
-from .operators.match import Matcher, used_properties
+from .operators.match import Matcher, only_counts, used_properties
 from .operators.project import project
 from .operators.scope import Bound, Scope
 from .plans import syntax as S
@@ -95,9 +95,10 @@ class Session:
 
     def run_single(self, clauses: list, params: dict[str, Any]) -> DataFrame:
         used = used_properties(clauses)
+        folds = only_counts(clauses) and not self.follower
         scope = Scope(None, {})
         for clause in clauses:
-            scope = self.step(clause, scope, used, params)
+            scope = self.step(clause, scope, used, params, folds)
         if not isinstance(clauses[-1], S.Return):
             if isinstance(clauses[-1], S.InCall | S.LoadFrom):
                 return scope.df.select(*[b.col() for b in scope.vars.values()])
@@ -106,11 +107,11 @@ class Session:
             return self.message("ok")
         return scope.df
 
-    def step(self, clause: Any, scope: Scope, used: dict, params: dict[str, Any]) -> Scope:
+    def step(self, clause: Any, scope: Scope, used: dict, params: dict[str, Any], folds: bool = False) -> Scope:
         if isinstance(clause, S.Match):
             if clause.optional:
                 return subquery.optional(self, scope, clause, used, params)
-            found = Matcher(self, used, params).match(clause.patterns, scope, clause.hint)
+            found = Matcher(self, used, params, folds).match(clause.patterns, scope, clause.hint)
             return subquery.where(self, found, clause.where, params)
         if isinstance(clause, S.With):
             return project(self, scope, clause.body, params, False)
