@@ -9,9 +9,6 @@ from ..storage import materialise, shared_dir
 
 __all__ = ["connected_components", "materialise", "own_name", "partition_count", "read_table", "shared_dir"]
 
-#: What counts as white space in every word rule here (fixed values).
-WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

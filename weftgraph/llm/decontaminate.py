@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import groups
+
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs, and shares of n-grams of question and answer.
 SHARE, QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6, 0.5
 BLOCK_ITEMS = 4
 #: Bytes of benchmark text per index: what a broadcast holds is in proportion to it.
 INDEX_BYTES = 4_000_000
+#: Characters of documents whose windows are bounded at once.
+GROUP_CHARS = 3_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -199,12 +203,6 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield BlockMaxIndex(sorted((r.id if r.id is not None else -1, r.t) for r in mine.collect()))
 
 
-def _batches(column: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    from .bpe import groups
-
-    return groups(column, most)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, score (1 is the threshold), and the shares
     of the question's and the answer's n-grams. Documents without a hit have no row.
@@ -221,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, texts in _batches(batch.column(1)):
+                for start, texts in groups(batch.column(1), GROUP_CHARS):
                     hits = list(shared.value.hits(texts))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([shared.value.ids[h[1]] for h in hits], pa.int64()), *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]],
@@ -243,7 +241,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for start, texts in _batches(batch.column(at)):
+                for start, texts in groups(batch.column(at), GROUP_CHARS):
                     clean[[start + h[0] for h in shared.value.hits(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
