@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -108,7 +107,7 @@ def minus(a: Value, b: Value):
     if is_time(a.t) and is_time(b.t):
         micros = F.unix_micros(a.c.cast("timestamp")) - F.unix_micros(b.c.cast("timestamp"))
         day = 86_400_000_000
-        return F.when(micros.isNotNull(), interval(0, F.expr("0") + F.floor(F.abs(micros) / day) * F.signum(micros), micros % day))
+        return F.when(micros.isNotNull(), interval(0, F.floor(F.abs(micros) / day) * F.signum(micros), micros % day))
     return a.c - b.c
 
 
@@ -199,7 +198,3 @@ def least(a: Value, b: Value):
 def _times(*args: Value) -> None:
     if not all(isinstance(x.t, T.DateType | T.NullType) or is_time(x.t) for x in args):
         raise QueryError("GREATEST and LEAST take dates or timestamps")
-
-
-def all_of(parts):
-    return reduce(lambda a, b: a & b, parts)

@@ -13,7 +13,7 @@ from ..functions import FUNCTIONS, Value
 from ..operators.scope import Bound, Scope
 from . import syntax as S
 from .lexer import QueryError
-from .types import cast, common_type, is_integral, is_interval, is_numeric, is_time, parse_type, to_string
+from .types import cast, common_type, is_integral, is_interval, is_numeric, parse_type
 
 if TYPE_CHECKING:
     from ..session import Session
@@ -487,6 +487,3 @@ def rel_struct(session: Session, b: Bound) -> Column:
     end = lambda side: F.struct(b.col(f"_{side[0]}label").alias("table"), b.col(f"_{side}").alias("offset"))
     props = [b.col(p).alias(p) for p in b.props]
     return F.when(b.col("_src").isNotNull(), F.struct(end("src").alias("_SRC"), end("dst").alias("_DST"), b.col("_label").alias("_LABEL"), element_id(session, b).alias("_ID"), *props))
-
-
-__all__ = ["AGGREGATES", "Compiler", "Typed", "contains_aggregate", "is_time", "replace_vars", "to_string"]

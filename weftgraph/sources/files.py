@@ -92,7 +92,7 @@ def sniff(lines: list[str], options: dict) -> dict[str, str]:
                 if not widths:
                     continue
                 same = widths.count(widths[0])
-                rank = (same if widths[0] > 1 else 0, -abs(widths[0] - max(widths)) * 0 + (widths[0] if same == len(widths) else 0))
+                rank = (same if widths[0] > 1 else 0, widths[0] if same == len(widths) else 0)
                 if rank > best:
                     best, found = rank, {"delim": d, "quote": q, "escape": e}
     return found
