@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,11 +15,29 @@ from .session import Session
 LINE = {"suppkey": "l_suppkey", "linenumber": "l_linenumber", "quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "returnflag": "l_returnflag", "linestatus": "l_linestatus", "shipdate": "l_shipdate"}
 
 
+#: By session, graph and folder; a catalog keeps its session alive, so an id stands for one session only.
+_opened: dict[tuple[int, str, str], GraphCatalog] = {}
+
+
+def graph(build: Callable[[SparkSession, str], GraphCatalog]) -> Callable[[SparkSession, str], Session]:
+    """Opens a graph once for a session and a folder; each session works on a snapshot of its own."""
+
+    def opened(spark: SparkSession, sf_dir: str) -> Session:
+        key = (id(spark), build.__name__, sf_dir)
+        if key not in _opened:
+            _opened[key] = build(spark, sf_dir)
+        return Session(spark, _opened[key].snapshot())
+
+    opened.__doc__ = build.__doc__
+    return opened
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def commerce(spark: SparkSession, sf_dir: str) -> Session:
+@graph
+def commerce(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """Region, Nation, Customer, Supplier, Part and Orders with their relationships, line items as CONTAINS."""
     g = GraphCatalog(spark)
     read = {n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
@@ -30,10 +50,11 @@ def commerce(spark: SparkSession, sf_dir: str) -> Session:
     g.add_rels("CONTAINS", read["lineitem"], ("Orders", "l_orderkey"), ("Part", "l_partkey"), LINE)
     g.add_rels("SHIPPED_BY", read["lineitem"], ("Orders", "l_orderkey"), ("Supplier", "l_suppkey"), {k: v for k, v in LINE.items() if k != "suppkey"})
     g.add_rels("SUPPLIES", read["lineitem"].select("l_suppkey", "l_partkey").distinct(), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
-    return Session(spark, g)
+    return g
 
 
-def trade(spark: SparkSession, sf_dir: str) -> Session:
+@graph
+def trade(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """Nations and what flows between them: customers of one buy from suppliers of the other."""
     g = GraphCatalog(spark)
     nation = _table(spark, sf_dir, "nation")
@@ -48,20 +69,22 @@ def trade(spark: SparkSession, sf_dir: str) -> Session:
     # a sparse part of it, by weight alone, so that paths have some length
     sparse = flows.where("(c_nationkey * 7 + s_nationkey * 3) % 11 < 2").withColumn("rid", F.col("c_nationkey").cast("long") * 1000 + F.col("s_nationkey"))
     g.add_rels("TRADES", sparse, ("Nation", "c_nationkey"), ("Nation", "s_nationkey"), ["n", "quantity"], rid="rid")
-    return Session(spark, g)
+    return g
 
 
-def talk(spark: SparkSession, sf_dir: str) -> Session:
+@graph
+def talk(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """Turns of conversations, each followed by the next."""
     g = GraphCatalog(spark)
     turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "role", F.length("text").alias("chars"))
     g.add_nodes("Turn", turns, "id")
     after = turns.select("id", F.lead("id").over(W.partitionBy("conv_id").orderBy("turn")).alias("next")).where("next IS NOT NULL").withColumn("rid", F.col("id"))
     g.add_rels("NEXT_TURN", after, ("Turn", "id"), ("Turn", "next"), rid="rid")
-    return Session(spark, g)
+    return g
 
 
-def activity(spark: SparkSession, sf_dir: str) -> Session:
+@graph
+def activity(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     """Events of a user, each followed by the next, with the seconds between."""
     g = GraphCatalog(spark)
     events = _table(spark, sf_dir, "events")
@@ -71,4 +94,4 @@ def activity(spark: SparkSession, sf_dir: str) -> Session:
     g.add_rels("NEXT_EVENT", after.withColumn("rid", F.col("event_id")), ("Event", "event_id"), ("Event", "next"), ["gap_s"], rid="rid")
     g.add_nodes("Document", _table(spark, sf_dir, "documents"), "doc_id")
     g.add_nodes("Vec", _table(spark, sf_dir, "embeddings"), "vec_id")
-    return Session(spark, g)
+    return g
