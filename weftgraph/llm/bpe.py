@@ -7,7 +7,8 @@ there the pre-tokenizer's pattern starts a new match in any case (no alternative
 something else), and a run of white space loses at most a piece boundary at a pair that can't be merged anyway.
 Special tokens hold no white space, so no cut falls into one.
 
-The fragments are short and repeat, so each worker encodes a fragment once and keeps its ids in a bounded memo.
+The fragments are short and repeat, so each worker encodes a fragment once and keeps its ids in a bounded memo,
+which is held in Arrow and numpy arrays: some forty bytes a fragment.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import hashlib
 import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 WHITE_BYTES = b"\x09\x0a\x0b\x0c\x0d\x20"
-MEMO_FRAGMENTS = 1_200_000
+MEMO_FRAGMENTS = 1_000_000
 MEMO_LENGTH = 64
+#: Characters that are encoded at once: the more, the fewer distinct fragments for each.
+GROUP_CHARS = 8_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -95,7 +97,7 @@ class ByteBpe:
         self.uneven = [b"\0", b"\1", *(bytes([c]) for c in WHITE_BYTES if c not in b" \n"), b"  ", b" \n", b"\n ", b"\n\n", *(bytes([c, 10]) for c in loose.tolist())]
         self.uncut = [(bytes([c, 32]), bytes([c, 1])) for c in loose.tolist()]
         self.split = re.compile(w + rb"*" + n + rb"*" + uncut, re.S).findall
-        self.memo: dict[bytes, bytes] = {b"\0": b""}
+        self.forget()
 
     def fragments(self, text: str) -> list[bytes]:
         """Parts to encode by themselves, in order, as they are written in the memo.
@@ -126,47 +128,77 @@ class ByteBpe:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
-        Most texts are split, and their fragments made distinct, in Arrow; Python only sees distinct fragments.
+        Fragments are split (in Arrow, for most texts), made distinct and looked up in Arrow; Python only sees the
+        fragments that the memo doesn't have.
         """
         spaced = [self._spaced(t) for t in texts]
-        odd = {i: self.fragments(t) for i, (s, t) in enumerate(zip(spaced, texts)) if s is None}
-        lists = pc.split_pattern(pa.array([b"\0" if s is None else s for s in spaced], pa.binary()), b" ")
-        coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        extra = set().union(*odd.values()).difference(distinct) if odd else ()
-        known = self._known([*distinct, *extra], texts)
-        values = [known[f] for f in distinct]
-        table = np.frombuffer(b"".join(values), "<u4")
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        start = np.cumsum(size) - size
+        odd = [i for i, s in enumerate(spaced) if s is None]
+        lists = pc.split_pattern(pa.array([b"" if s is None else s for s in spaced], pa.binary()), b" ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        first, last = bounds[:-1], bounds[1:].copy()
+        flat = lists.values
+        if odd:
+            parts = [self.fragments(texts[i]) for i in odd]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            first[odd] = len(flat) + np.cumsum(sizes) - sizes
+            last[odd] = first[odd] + sizes
+            flat = pa.concat_arrays([flat, pa.array([f for p in parts for f in p], pa.binary())])
+        coded = flat.dictionary_encode()
+        table, start, size = self._known(coded.dictionary, texts)
         at = coded.indices.to_numpy()
         width = size[at]
         ends = np.concatenate(([0], np.cumsum(width)))
         where = np.arange(int(ends[-1])) + np.repeat(start[at] - ends[:-1], width)
         raw = table[where].tobytes()
-        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
-        return [b"".join(map(known.__getitem__, odd[i])) if i in odd else raw[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-
-    def _known(self, distinct: list[bytes], texts: list[str]) -> dict[bytes, bytes]:
-        """The memo (with this call's long fragments), holding at least these fragments."""
-        memo = self.memo
-        missing = [f for f in distinct if f not in memo]
-        if len(memo) + len(missing) > self.limit:  # keep what is in use now
-            memo = self.memo = {f: memo[f] for f in distinct if f in memo} | {b"\0": b""}
+        return [raw[a:b] for a, b in zip((4 * ends[first]).tolist(), (4 * ends[last]).tolist())]
+
+    def _known(self, distinct: pa.Array, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where in ids each fragment's encoding is."""
+        place = pc.index_in(distinct, value_set=self.keys).fill_null(-1).to_numpy()
+        unseen = np.flatnonzero(place < 0)
+        start, size = self.starts[place], self.sizes_of[place]
+        missing = distinct.take(pa.array(unseen)).to_pylist()
         special = [a for a in self.added if any(a.decode() in t for t in texts)]
         loose = self.loose
-        run = [f for f in missing if f and f[0] and f[-1] not in loose and len(f) <= MEMO_LENGTH]
-        if special:
-            run = [f for f in run if not any(a in f for a in special)]
-        alone = list(set(missing).difference(run)) if len(run) < len(missing) else []
-        for at in range(0, len(run), 50_000):
-            self._encode_run(run[at : at + 50_000], memo, alone)
-        long = {}
-        for at in range(0, len(alone), 50_000):
-            some = alone[at : at + 50_000]
-            for f, e in zip(some, self.lib.encode_batch_fast([self._whole(f).decode() for f in some], add_special_tokens=False)):
-                (memo if len(f) <= MEMO_LENGTH else long)[f] = np.array(e.ids, "<u4").tobytes()
-        return ChainMap(long, memo) if long else memo
+        plain = np.fromiter((bool(f) and f[0] != 0 and f[-1] not in loose and len(f) <= MEMO_LENGTH and not (special and any(a in f for a in special)) for f in missing), bool, len(missing))
+        tables, total = [self.ids], len(self.ids)
+        queue = [(np.flatnonzero(plain)[at : at + 50_000], True) for at in range(0, int(plain.sum()), 50_000)]
+        queue += [(np.flatnonzero(~plain)[at : at + 50_000], False) for at in range(0, int((~plain).sum()), 50_000)]
+        while queue:
+            which, joined = queue.pop(0)
+            some = [missing[i] for i in which.tolist()]
+            made = self._encode_run(some) if joined else self._encode_each(some)
+            if made is None:
+                queue.append((which, False))
+                continue
+            ids, sizes = made
+            start[unseen[which]] = total + np.cumsum(sizes) - sizes
+            size[unseen[which]] = sizes
+            tables.append(ids)
+            total += len(ids)
+        table = np.concatenate(tables)
+        self._remember(distinct, unseen, table, start, size)
+        return table, start, size
+
+    def _remember(self, distinct: pa.Array, unseen: np.ndarray, table: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Adds what is new to the memo, or keeps only what is in use now when that is full; long fragments stay out."""
+        short = pc.less_equal(pc.binary_length(distinct), MEMO_LENGTH).to_numpy(zero_copy_only=False)
+        new = unseen[short[unseen]]
+        if len(self.keys) + len(new) > self.limit:
+            self.forget()
+            new = np.flatnonzero(short)
+        width = size[new]
+        ends = np.cumsum(width)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[new] - (ends - width), width)
+        self.starts = np.concatenate((self.starts[:-1], len(self.ids) + ends - width, [0]))
+        self.sizes_of = np.concatenate((self.sizes_of[:-1], width, [0]))
+        self.ids = np.concatenate((self.ids, table[where]))
+        self.keys = pa.concat_arrays([self.keys, distinct.take(pa.array(new))])
+
+    def forget(self) -> None:
+        """Empties the memo. Its last place stands for what it doesn't have."""
+        self.keys, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.starts = self.sizes_of = np.zeros(1, np.int64)
 
     @staticmethod
     def _whole(part: bytes) -> bytes:
@@ -175,18 +207,23 @@ class ByteBpe:
             return part[2:]
         return (part[1:] if part[:1] == b"\0" else b" " + part).replace(b"\1", b" ")
 
-    def _encode_run(self, run: list[bytes], memo: dict[bytes, bytes], alone: list[bytes]) -> None:
-        """Encodes fragments that begin with a space in one text: the pairs before are certain, so they stay apart."""
+    def _encode_run(self, run: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers of fragments that begin with a space, encoded in one text.
+
+        The pairs before the spaces are certain, so the fragments stay apart.
+        """
         text = (b" " + b" ".join(run)).replace(b"\1", b" ").decode()
         ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.sizes[ids])
         wish = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
         at = np.searchsorted(ends, wish)
         if len(ids) == 0 or at[-1] >= len(ids) or not np.array_equal(ends[at], wish):
-            alone += run
-            return
-        raw, stops = ids.tobytes(), (4 * (at + 1)).tolist()
-        memo.update(zip(run, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+            return None
+        return ids, np.diff(at, prepend=-1)
+
+    def _encode_each(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.lib.encode_batch_fast([self._whole(f).decode() for f in some], add_special_tokens=False)]
+        return np.array([i for m in made for i in m], "<u4"), np.fromiter(map(len, made), np.int64, len(made))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -205,7 +242,7 @@ def forget() -> None:
     """Empties the memos of this worker."""
     for key, value in _loaded.items():
         if key[0] == "own":
-            value.memo = {b"\0": b""}
+            value.forget()
 
 
 def groups(values: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -235,7 +272,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         decimal = [str(i) for i in range(len(bpe.pieces))]
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for _, texts in groups(batch.column(1)):
+            for _, texts in groups(batch.column(1), GROUP_CHARS):
                 for raw in bpe.encode_many(texts):
                     ids = np.frombuffer(raw, "<u4").tolist()
                     n.append(len(ids))
@@ -261,7 +298,7 @@ def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for batch in batches:
-            for start, texts in groups(batch.column(at)):
+            for start, texts in groups(batch.column(at), GROUP_CHARS):
                 raw = bpe.encode_many(texts)
                 sizes = [len(r) // 4 for r in raw]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))

@@ -22,13 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_bpe, forget, groups, tokenizer_path
+from .bpe import GROUP_CHARS, byte_bpe, forget, groups, tokenizer_path
 from .common import partition_count, shared_dir
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
-#: Characters that are encoded at once: the more, the fewer distinct fragments for each.
-GROUP_CHARS = 16_000_000
 ROUNDS, ROUND_RULES, LEAST_USES = 2, 4096, 8
 
 FILE_SCHEMA = "shard int, block int, before long, base int, doc_ids array<long>, sizes array<long>, left binary, right binary, lengths binary, symbols binary"
