@@ -313,6 +313,36 @@ def test_filter_levels():
     assert (f.levels(r.integers(0, 1 << 63, 20_000).astype(np.uint64)) == 0).mean() > 0.97
 
 
+def test_pairs_of_rare_words_count(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(6000)]  # each one token in 18,000: far from frequent
+    texts = []
+    for _ in range(3):
+        order = [words[i : i + 100] for i in range(0, 6000, 100)]
+        r.shuffle(order)
+        texts += [" ".join(x) for x in order]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    known = words[:100]
+    mixed = r.sample(known, 100)
+    table = [*zip(train, texts), (held[0], " ".join(known)), (held[1], " ".join(mixed))]
+    got = {x["doc_id"]: x["score"] for x in rows(lm_score.score(spark.createDataFrame(table, "doc_id long, text string"), bits=1 << 20))}
+    assert got[held[0]] > got[held[1]] + 100
+
+
+def test_a_small_filter_leaves_nothing_out(spark):
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(8000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 8000, 100)]
+    texts += [" ".join(r.choice(words[:500]) for _ in range(200)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    *_, parts = lm_score.learn(df.select("text"), 1 << 16)
+    assert parts > 1
+    # texts that were counted: all of their words and pairs are known, false probes can only raise a level
+    wide, small = ({x["doc_id"]: x["score"] for x in rows(lm_score.score(df, bits=b)) if not x["held_out"]} for b in (1 << 24, 1 << 16))
+    assert len(wide) > 70 and wide.keys() == small.keys() and all(abs(small[i] - wide[i]) < 0.02 * abs(wide[i]) for i in wide)
+
+
 def test_without_training_documents(spark):
     i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = rows(lm_score.score(spark.createDataFrame([(i, "a b")], "doc_id long, text string"), bits=1 << 16))

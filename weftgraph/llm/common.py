@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import materialise, release, shared_dir
 
-__all__ = ["connected_components", "materialise", "own_name", "partition_count", "read_table", "shared_dir"]
+__all__ = ["connected_components", "materialise", "own_name", "partition_count", "read_table", "release", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

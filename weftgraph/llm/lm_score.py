@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of frequent word pairs are gathered from all training documents and quantised on a log
-scale. An n-gram of level q is put into the filter once for each level 1..q, so its quantised count is found by
-probing level after level until one is missing. The filter has a fixed size; which levels are put in follows
-from the counts of counts, so that it is never overfull. It is built in segments by key, collected (16 MB at
-the default) and broadcast to the workers.
+Counts of all words and of all pairs of neighbouring words are gathered from the training documents and quantised
+on a log scale. An n-gram of level q is put into the filter once for each level 1..q, so its quantised count is
+found by probing level after level until one is missing. The filter has `BITS_PER_ENTRY` bits for each entry,
+however many there are. It is built in segments by key; 64 segments (16 MB at the default) are a part, and parts
+are collected and broadcast one after the other. With more than one part, a pass over the texts for each part
+notes the levels of the n-grams that lie in it, two bytes a token; so passes grow with the number of n-grams, and
+memory doesn't.
 
 Probabilities: a word of level q gets the mean count of its level, less an absolute discount, over all tokens;
-what is discounted or left out of the filter is the probability of an unknown word, so the distribution adds up
-to one over the known words and the unknown one. Between two words of the frequent core, at most 2,048, the
-pair's share of its first word is mixed in, scaled to the probability that the core has.
+what is discounted is the probability of an unknown word, so the distribution adds up to one over the known words
+and the unknown one. After a known word, the pair's share of that word's count is mixed in.
 
 The base score needs exact counts of any word. Those of frequent words (at least one token in 131,072, which at
 most 131,072 words can be) are broadcast; the others are joined on the word, after adding up within documents.
@@ -29,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import materialise
+from .common import materialise, release
 
 END = ""  # no word is empty
 FILTER_BITS, SEGMENTS, HASHES, BITS_PER_ENTRY = 1 << 27, 64, 3, 10
 LEVEL_BASE = 1.5
-HOT_SHARE, CORE_SHARE, LONGEST_HOT = 1 << 17, 1 << 11, 64
+HOT_SHARE, LONGEST_HOT = 1 << 17, 64
 PAIR_WEIGHT = 0.2
 _FLUSH = 400_000
+GROUP_BYTES = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,16 +57,25 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
 
 
-def pair_keys(pairs: np.ndarray) -> np.ndarray:
-    """Keys of pairs of core words, given as first * CORE_SHARE + second."""
-    return _mixed(pairs.astype(np.uint64) * _MIX + np.uint64(1))
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words, given by the words' keys."""
+    return _mixed(first * _MIX + second + np.uint64(1))
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a key by its upper bits; `segments` is a power of two."""
+    return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+    """Quantised counts by repeated membership probes; of `total` segments it holds those from `first` on.
+
+    The level of a key in a segment that it doesn't hold is 0.
+    """
 
-    def __init__(self, segments: list[np.ndarray], top: int):
+    def __init__(self, segments: list[np.ndarray], top: int, first: int = 0, total: int | None = None):
         self.bits, self.top, self.size = segments, top, 8 * len(segments[0])
+        self.first, self.total = first, total or len(segments)
 
     @staticmethod
     def positions(keys: np.ndarray, at_level: int, size: int) -> list[np.ndarray]:
@@ -81,9 +92,9 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
-        segment = (keys >> np.uint64(58)).astype(np.int64) % len(self.bits)
+        segment = segment_of(keys, self.total) - self.first
         flat, width = self._flat(), self.size
-        open_ = np.arange(len(keys))
+        open_ = np.flatnonzero((segment >= 0) & (segment < len(self.bits)))
         for j in range(1, self.top + 1):
             base = segment[open_] * width
             there = np.ones(len(open_), bool)
@@ -108,12 +119,22 @@ class Model:
     kinds: int
     end_count: int
     hot: dict[bytes, int]
-    core: dict[bytes, int]
-    core_total: np.ndarray
-    filter: LogFrequencyFilter
-    word_mass: np.ndarray  # probability by level; level 0 is the unknown word
-    pair_mean: np.ndarray  # mean count by level
-    core_mass: float
+    word_mass: np.ndarray  # log10 of the probability by level; level 0 is the unknown word
+    word_mean: np.ndarray  # mean counts by level
+    pair_mean: np.ndarray
+
+
+@dataclass
+class NGrams:
+    """The words and pairs of some texts; `follows` are the places of words that have one before them."""
+
+    sizes: np.ndarray
+    kinds: list[bytes]
+    keys: np.ndarray
+    idx: np.ndarray
+    doc: np.ndarray
+    follows: np.ndarray
+    pairs: np.ndarray
 
 
 def _held_out(id_col: Column) -> Column:
@@ -149,119 +170,131 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(train: DataFrame, core: dict[bytes, int]) -> DataFrame:
-    """(pair, c): neighbouring core words of the training texts."""
+def ngrams(texts: list[str]) -> NGrams:
+    words = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    kinds = list(set().union(*words))
+    number = {w: i for i, w in enumerate(kinds)}
+    keys = word_keys(kinds)
+    idx = np.fromiter((i for ws in words for i in map(number.__getitem__, ws)), np.int64, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(words)), sizes)
+    follows = np.flatnonzero(doc[:-1] == doc[1:]) + 1
+    return NGrams(sizes, kinds, keys, idx, doc, follows, pair_keys(keys[idx[follows - 1]], keys[idx[follows]]))
+
+
+def count_pairs(train: DataFrame) -> DataFrame:
+    """(key, c): all pairs of neighbouring words of the training texts, added up by group of texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = CORE_SHARE
-        dense = np.zeros(k * k, np.int32)  # 16 MB; there are at most `k` core words
         for batch in batches:
-            for _, texts in groups(batch.column(0)):
-                words = [words_of(t) for t in texts]
-                ids = np.fromiter((core.get(w, -1) for ws in words for w in (*ws, None)), np.int64)  # None parts texts
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                pair, n = np.unique(ids[:-1][both] * k + ids[1:][both], return_counts=True)
-                dense[pair] += n.astype(np.int32)
-        some = np.flatnonzero(dense)
-        for at in range(0, len(some), 100_000):
-            p = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(dense[p].astype(np.int64))], names=["pair", "c"])
-
-    return train.mapInArrow(run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-
-
-def _admitted(by_level: list[tuple[int, int, int]], entries: float) -> int:
-    """The least level from which all n-grams fit into so many entries."""
-    least, used = max((q for q, _, _ in by_level), default=0) + 1, 0
-    for q, n, _ in sorted(by_level, reverse=True):
-        used += q * n
-        if used > entries:
-            break
-        least = q
-    return least
-
-
-def learn(train: DataFrame, bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
-    """The model and the exact (word, c) table."""
+            for _, texts in groups(batch.column(0), GROUP_BYTES):
+                key, n = np.unique(ngrams(texts).pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "c"])
+
+    return train.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _filter_table(words: DataFrame, pairs: DataFrame, size: int, total: int) -> DataFrame:
+    """(segment, bits) of every segment that has an n-gram."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            keys, q = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(segment_of(keys, total), kind="stable")
+            keys, q = keys[order], q[order]
+            some, at = np.unique(segment_of(keys, total), return_index=True)
+            ends = [*at[1:].tolist(), len(keys)]
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(keys), cut(q)], names=["segment", "keys", "levels"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            keys = word_keys([w.encode() for w in column.to_pylist()]) if pa.types.is_string(column.type) else column.to_numpy().view(np.uint64)
+            held.append((keys, batch.column(1).to_numpy().astype(np.uint8)))
+            if sum(len(k) for k, _ in held) > _FLUSH:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def segment(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        made = LogFrequencyFilter.build(keys, np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8), size)
+        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([made.tobytes()], pa.binary())})
+
+    put = lambda df, key: df.select(key, level(F.col("c")).alias("q")).mapInArrow(packed, "segment int, keys binary, levels binary")
+    return put(words, "word").unionByName(put(pairs, "key")).groupBy("segment").applyInArrow(segment, "segment int, bits binary")
+
+
+def learn(train: DataFrame, bits: int = FILTER_BITS) -> tuple[Model, DataFrame, Iterator[LogFrequencyFilter], int]:
+    """The model, the exact (word, c) table, the parts of the filter (of `bits` each) one by one, and their number."""
     counts = materialise(count_words(train))
     head = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("e")).first()
     tokens, kinds, ends = head.n, head.v, head.e
     words = counts.where(F.col("word") != END)
     frequent = words.where((F.octet_length("word") <= LONGEST_HOT) & (F.col("c") * HOT_SHARE >= tokens)).collect()  # at most HOT_SHARE rows of 64 bytes
     hot = {r.word.encode(): r.c for r in frequent}
-    core = {w: i for i, w in enumerate(sorted(w for w, c in hot.items() if c * CORE_SHARE >= tokens))}
-    pairs = materialise(count_pairs(train, core))
-    firsts = pairs.groupBy(F.expr(f"pair div {CORE_SHARE}").alias("a")).agg(F.sum("c").alias("n")).collect()  # at most CORE_SHARE rows
-    core_total = np.ones(CORE_SHARE)
-    for r in firsts:
-        core_total[int(r.a)] = r.n
+    pairs = materialise(count_pairs(train))
     by_level = lambda df: [(r.q, r.n, r.s) for r in df.groupBy(level(F.col("c")).alias("q")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()]
     word_levels, pair_levels = by_level(words), by_level(pairs)
-    entries = bits / BITS_PER_ENTRY / 2
-    least_word, least_pair = _admitted(word_levels, entries), _admitted(pair_levels, entries)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if pa.types.is_string(batch.column(0).type):
-                keys = word_keys([w.encode() for w in batch.column(0).to_pylist()])
-            else:
-                keys = pair_keys(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(58)).astype(np.int32) % SEGMENTS), pa.array(keys.view(np.int64)), batch.column(1)], names=["segment", "key", "q"])
-
+    need = BITS_PER_ENTRY * sum(q * n for q, n, _ in word_levels + pair_levels)
+    parts = 1 << max(0, math.ceil(need / bits) - 1).bit_length()
+    top = max((q for q, _, _ in word_levels + pair_levels), default=0)
     size = bits // SEGMENTS
+    table = _filter_table(words, pairs, size, SEGMENTS * parts)
+    table = materialise(table) if parts > 1 else table
 
-    def segment(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy().view(np.uint64)
-        made = LogFrequencyFilter.build(keys, table.column("q").to_numpy(), size)
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([made.tobytes()], pa.binary())})
-
-    schema = "segment int, key long, q int"
-    put = lambda df, key, least: df.select(key, level(F.col("c")).alias("q")).where(F.col("q") >= least).mapInArrow(keyed, schema)
-    built = put(words, "word", least_word).unionByName(put(pairs, "pair", least_pair)).groupBy("segment").applyInArrow(segment, "segment int, bits binary")
-    filled = {r.segment: np.frombuffer(r.bits, np.uint8) for r in built.collect()}  # `bits` in all, a fixed size
-    empty = np.zeros(size // 8, np.uint8)
-    top = max((q for q, _, _ in word_levels + pair_levels), default=0)
-    bloom = LogFrequencyFilter([filled.get(i, empty) for i in range(SEGMENTS)], top)
+    def each() -> Iterator[LogFrequencyFilter]:
+        for first in range(0, SEGMENTS * parts, SEGMENTS):
+            some = table.where(F.col("segment").between(first, first + SEGMENTS - 1)).collect()  # `bits` in all, a fixed size
+            filled = {r.segment: np.frombuffer(r.bits, np.uint8) for r in some}
+            empty = np.zeros(size // 8, np.uint8)
+            yield LogFrequencyFilter([filled.get(first + i, empty) for i in range(SEGMENTS)], top, first, SEGMENTS * parts)
 
     once, twice = (counts.where(F.col("c") == k).count() for k in (1, 2))
     discount = once / (once + 2 * twice) if once else 0.0
-    mass = np.zeros(top + 1)
+    mass, word_mean, pair_mean = np.zeros(top + 1), np.zeros(top + 1), np.zeros(top + 1)
     for q, n, s in word_levels:
-        if q >= least_word:
-            mass[q] = (s / n - discount) / max(1, tokens)
+        mass[q], word_mean[q] = (s / n - discount) / max(1, tokens), s / n
     known = sum(n * mass[q] for q, n, _ in word_levels) + (ends / tokens if tokens else 0)
-    for q in range(top - 1, 0, -1):  # a level that no word has: met by a false probe only
-        mass[q] = mass[q] or mass[q + 1]
-    mass[0] = max(1 - known, 1 / (tokens + kinds + 1))
-    mean = np.zeros(top + 1)
     for q, n, s in pair_levels:
-        mean[q] = s / n if q >= least_pair else 0
-    core_words = list(core)
-    core_mass = float(mass[bloom.levels(word_keys(core_words))].sum()) if core else 0.0
-    return Model(tokens, kinds, ends, hot, core, core_total, bloom, np.log10(np.maximum(mass, 1e-300)), mean, core_mass), counts
+        pair_mean[q] = s / n
+    for x in (mass, word_mean, pair_mean):
+        for q in range(top - 1, 0, -1):  # a level that no n-gram has: met by a false probe only
+            x[q] = x[q] or x[q + 1]
+    mass[0] = max(1 - known, 1 / (tokens + kinds + 1))
+    return Model(tokens, kinds, ends, hot, np.log10(np.maximum(mass, 1e-300)), word_mean, pair_mean), counts, each(), parts
+
+
+def probe(part: LogFrequencyFilter, g: NGrams, before: list[bytes | None]) -> np.ndarray:
+    """Two rows of levels, of each word and of the pair that ends with it; `before` are those of earlier parts by text."""
+    levels = np.zeros((2, len(g.idx)), np.uint8)
+    at = 0
+    for raw, n in zip(before, g.sizes.tolist()):
+        if raw:
+            levels[:, at : at + n] = np.frombuffer(raw, np.uint8).reshape(2, n)
+        at += n
+    levels[0] += part.levels(g.keys).astype(np.uint8)[g.idx]
+    pair, back = np.unique(g.pairs, return_inverse=True)
+    levels[1, g.follows] += part.levels(pair).astype(np.uint8)[back]
+    return levels
 
 
-def score_texts(m: Model, texts: list[str]) -> dict[str, object]:
+def score_texts(m: Model, g: NGrams, levels: np.ndarray) -> dict[str, object]:
     """Per text: n_tokens, known and base (of frequent words and the end), score; the other words with counts."""
-    words = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    kinds = list(set().union(*words))
-    number = {w: i for i, w in enumerate(kinds)}
-    p1 = m.word_mass[m.filter.levels(word_keys(kinds))] if kinds else np.zeros(0)
+    kinds, idx, doc, sizes = g.kinds, g.idx, g.doc, g.sizes
     exact = np.fromiter((m.hot.get(w, -1) for w in kinds), np.int64, len(kinds))
-    core = np.fromiter((m.core.get(w, -1) for w in kinds), np.int64, len(kinds))
-    idx = np.fromiter((i for ws in words for i in map(number.__getitem__, ws)), np.int64, int(sizes.sum()))
-    doc = np.repeat(np.arange(len(words)), sizes)
-    log_p = p1[idx]
-    if len(idx) > 1 and m.core:
-        c = core[idx]
-        at = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0) & (doc[:-1] == doc[1:])) + 1
-        if len(at):
-            pair, back = np.unique(c[at - 1] * CORE_SHARE + c[at], return_inverse=True)
-            share = m.pair_mean[m.filter.levels(pair_keys(pair))][back] / m.core_total[c[at - 1]]
-            log_p[at] = np.log10((1 - PAIR_WEIGHT) * 10.0 ** log_p[at] + PAIR_WEIGHT * m.core_mass * np.minimum(1, share))
+    log_p = m.word_mass[levels[0]]
+    context = np.where(exact[idx] >= 0, exact[idx], m.word_mean[levels[0]])  # 0 for an unknown word
+    at = g.follows[context[g.follows - 1] > 0]
+    share = m.pair_mean[levels[1, at]] / context[at - 1]
+    log_p[at] = np.log10((1 - PAIR_WEIGHT) * 10.0 ** log_p[at] + PAIR_WEIGHT * np.minimum(1, share))
     end_p = math.log10(m.end_count / m.tokens) if m.end_count else float(m.word_mass[0])
-    add = lambda x: np.bincount(doc, x, len(words))
+    add = lambda x: np.bincount(doc, x, len(sizes))
     seen = exact[idx] >= 0
     tail = np.flatnonzero(~seen)
     key, n = np.unique(doc[tail] * max(1, len(kinds)) + idx[tail], return_counts=True)
@@ -271,7 +304,7 @@ def score_texts(m: Model, texts: list[str]) -> dict[str, object]:
         "known": add(seen).astype(np.int64) + (m.end_count > 0),
         "base": add(np.log10(np.maximum(exact, 0) + 1.0)[idx]) + math.log10(m.end_count + 1) - (sizes + 1) * math.log10(m.tokens + m.kinds + 1),
         "score": add(log_p) + end_p,
-        "offsets": np.searchsorted(owner, np.arange(len(words) + 1)),
+        "offsets": np.searchsorted(owner, np.arange(len(sizes) + 1)),
         "tail": [kinds[i] for i in (key % max(1, len(kinds))).tolist()],
         "times": n,
     }
@@ -286,21 +319,48 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = rows.where(~_held_out(F.col("doc_id"))).select("text")
-    model, counts = learn(train, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, counts, filters, parts = learn(train, bits)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    texts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.lit(None).cast("binary").alias("levels"))
+
+    def pass_over(df: DataFrame, part: LogFrequencyFilter) -> DataFrame:
+        """The levels of one part more."""
+        held = context.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start, some in groups(batch.column(2), GROUP_BYTES):
+                    g = ngrams(some)
+                    levels = probe(held.value, g, batch.column(3).slice(start, len(some)).to_pylist())
+                    ends = np.cumsum(g.sizes)
+                    raw = [levels[:, e - n : e].tobytes() for e, n in zip(ends.tolist(), g.sizes.tolist())]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, len(some)) for i in range(3)), pa.array(raw, pa.binary())], names=batch.schema.names)
+
+        out = materialise(df.mapInArrow(run, df.schema))
+        held.destroy()
+        return out
+
+    for _ in range(parts - 1):
+        done = pass_over(texts, next(filters))
+        release(texts)
+        texts = done
+    last = context.broadcast(next(filters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start, texts in groups(batch.column(2), 2_000_000):
-                s = score_texts(m, texts)
+            for start, texts in groups(batch.column(2), GROUP_BYTES):
+                g = ngrams(texts)
+                s = score_texts(m, g, probe(last.value, g, batch.column(3).slice(start, len(texts)).to_pylist()))
                 tail = pa.ListArray.from_arrays(pa.array(s["offsets"], pa.int32()), pa.array(s["tail"], pa.binary()).cast(pa.string()))
                 times = pa.ListArray.from_arrays(pa.array(s["offsets"], pa.int32()), pa.array(s["times"], pa.int64()))
                 own = [pa.array(s[k]) for k in ("n_tokens", "known", "base", "score")]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, len(texts)) for i in (0, 1)), *own, tail, times], names=["row", "doc_id", "n_tokens", "known", "base", "score", "tail", "times"])
 
     schema = "row long, doc_id long, n_tokens long, known long, base double, score double, tail array<string>, times array<long>"
-    scored = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema))
+    scored = materialise(texts.mapInArrow(run, schema))
+    release(texts)
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("n"))
     rare = tail.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("found"))
     out = scored.drop("tail", "times").join(rare, "row", "left")

@@ -32,7 +32,18 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialise() has written for this very frame, if it is one of those."""
+    name = getattr(df, "__dict__", {}).get("_weft_path")
+    if name in _written:
+        _written.remove(name)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> int:
