@@ -216,6 +216,21 @@ def test_grammar_round_trip():
             at += n
 
 
+def test_grammar_leaves_no_frequent_pair():
+    r = np.random.default_rng(4)
+    phrases = [r.integers(0, 5000, r.integers(2, 40)) for _ in range(3000)]
+    x = np.concatenate([phrases[i] for i in r.integers(0, 3000, 20_000) ** 2 // 3000]).astype(np.uint32)
+    for ids in (x, np.zeros(1000, np.uint32), r.integers(0, 3, 3000).astype(np.uint32)):
+        parts = repair.compress(ids, 5000)
+        seq, often = parts[3].tolist(), Counter()
+        last = {}
+        for i, pair in enumerate(zip(seq, seq[1:])):  # uses that don't overlap
+            if last.get(pair, -2) < i - 1:
+                often[pair], last[pair] = often[pair] + 1, i
+        assert max(often.values(), default=0) < repair.LEAST_USES
+        assert repair.Block(5000, np.array([len(ids)]), *map(repair._pack, parts)).all().tolist() == ids.tolist()
+
+
 def test_files_hold_all_ids_in_order(docs, spark, tmp_path):
     lib = bpe.load_tokenizer(bpe.tokenizer_path())
     path = str(tmp_path / "ids")

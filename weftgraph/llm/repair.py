@@ -27,7 +27,7 @@ from .common import partition_count, shared_dir
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
-ROUNDS, ROUND_RULES, LEAST_USES = 2, 4096, 8
+LEAST_USES = 8
 
 FILE_SCHEMA = "shard int, block int, before long, base int, doc_ids array<long>, sizes array<long>, left binary, right binary, lengths binary, symbols binary"
 
@@ -42,46 +42,59 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1).astype(np.int32)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, length, sequence): rule i replaces the pair (left[i], right[i]) by the symbol base + i."""
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, round_rules: int | None = None, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, length, sequence): rule i replaces the pair (left[i], right[i]) by the symbol base + i.
+
+    Goes on until no pair can be replaced `least` times, unless rounds or the rules of a round are bounded.
+    """
     seq = ids.astype(np.uint32)
     left, right, lengths = [], [], [np.ones(0, np.int64)]
     rules = 0
     size_of = lambda x: np.where(x < base, 1, np.concatenate((*lengths, [0]))[np.maximum(x.astype(np.int64) - base, 0) if rules else np.zeros(len(x), int)])
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    done, exact = 0, False
+    while (rounds is None or done < rounds) and len(seq) > 1:
+        done += 1
         a, b = seq[:-1], seq[1:]
-        # a frequent pair is the likely last one of its bucket; one that isn't gets its turn in a later round
         keys = (a.astype(np.uint64) << np.uint64(32)) | b
-        bucket = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)).astype(np.int64)
-        last = np.zeros(1 << 18, np.uint64)
-        last[bucket] = keys
-        same = last[bucket] == keys
-        count = np.bincount(bucket[same], minlength=1 << 18)
+        if exact:
+            pairs, bucket, count = np.unique(keys, return_inverse=True, return_counts=True)
+            same = np.ones(len(keys), bool)
+        else:
+            # a frequent pair is the likely last one of its bucket; one that isn't gets its turn in an exact round
+            bucket = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)).astype(np.int64)
+            pairs = np.zeros(1 << 18, np.uint64)
+            pairs[bucket] = keys
+            same = pairs[bucket] == keys
+            count = np.bincount(bucket[same], minlength=1 << 18)
         chosen = np.flatnonzero(count >= least)
-        if len(chosen) > round_rules:
+        if round_rules is not None and len(chosen) > round_rules:
             chosen = chosen[np.argpartition(count[chosen], -round_rules)[-round_rules:]]
-        if not len(chosen):
-            break
-        pairs = last[chosen]
-        number = np.full(1 << 18, -1, np.int32)
+        number = np.full(len(pairs), -1, np.int32)
         number[chosen] = np.arange(len(chosen))
+        pairs = pairs[chosen]
         rule = number[bucket]
         at = np.flatnonzero(same & (rule >= 0))
         rule = rule[at]
         # overlapping occurrences follow each other directly: take every other one of a run
-        begins = np.concatenate(([True], np.diff(at) > 1))
+        begins = np.concatenate(([True], np.diff(at) > 1))[: len(at)]
         run = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
         take = run % 2 == 0
         at, rule = at[take], rule[take]
         uses = np.bincount(rule, minlength=len(pairs))
-        used = uses >= 2
+        used = uses >= least
+        if not used.any() and exact and len(pairs):
+            # frequent pairs that only took each other's places: the most frequent one goes by itself
+            best = _apart(keys, pairs, count[chosen], least)
+            if best is not None:
+                at, rule, used = best[0], np.full(len(best[0]), best[1]), np.arange(len(pairs)) == best[1]
         keep = used[rule]
         at, rule = at[keep], (np.cumsum(used) - 1)[rule[keep]]
         pairs = pairs[used]
         if not len(pairs):
-            break
+            if exact:
+                break
+            exact = True
+            continue
         x, y = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         sizes = size_of(x) + size_of(y)
         left.append(x)
@@ -96,6 +109,17 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, round_rules: int
     return joined(left), joined(right), np.concatenate(lengths), seq
 
 
+def _apart(keys: np.ndarray, pairs: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, int] | None:
+    """The places, none overlapping, and the number of the most frequent pair that has `least` of them."""
+    for i in np.argsort(-count, kind="stable").tolist():
+        at = np.flatnonzero(keys == pairs[i])
+        begins = np.concatenate(([True], np.diff(at) > 1))
+        at = at[(np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0]
+        if len(at) >= least:
+            return at, i
+    return None
+
+
 class Grammar:
     """The rules of a block; expands symbols to ids."""
 
