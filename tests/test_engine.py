@@ -279,3 +279,17 @@ def test_parser_positions():
     with pytest.raises(QueryError, match="at 7"):
         parse("RETURN ;")
     assert len(parse("RETURN 1; RETURN 2;")) == 2
+
+
+def test_line_breaks_in_quotes_anywhere_in_any_file(spark, tmp_path):
+    from weftgraph.catalog import GraphCatalog
+    from weftgraph.session import Session
+    from weftgraph.sources.files import read_csv
+
+    late = "".join(f"{i},x\n" for i in range(600)) + '600,"two\nlines"\n'
+    (tmp_path / "a.csv").write_text("".join(f"{i},y\n" for i in range(10)))
+    (tmp_path / "b.csv").write_text(late)
+    s = Session(spark, GraphCatalog(spark))
+    for names, n in ((["b.csv"], 601), (["a.csv", "b.csv"], 611)):
+        got = read_csv(s, [str(tmp_path / x) for x in names], {"header": False}, []).collect()
+        assert len(got) == n and ("two\nlines" in {r[1] for r in got})

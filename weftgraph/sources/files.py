@@ -112,6 +112,16 @@ def _looks_like_header(lines: list[str], dialect: dict) -> bool:
     return any(plain(rows[1][i]) and not plain(rows[0][i]) for i in range(min(len(rows[0]), len(rows[1])))) or not any(set(r) & set(rows[0]) for r in rows[1:])
 
 
+def _has_open_quotes(session: Session, paths: list[str], dialect: dict) -> bool:
+    """Whether any line of any path has an odd number of quotes, with or without the escaped ones."""
+    quote, escape, line = dialect["quote"], dialect["escape"], F.col("value")
+    odd = lambda c: F.length(F.regexp_replace(c, f"[^{re.escape(quote)}]", "")) % 2 == 1
+    found = odd(line)
+    if escape and escape != quote:
+        found = found | odd(F.regexp_replace(line, re.escape(escape) + ".", ""))
+    return bool(quote) and not session.spark.read.text(paths).where(found).isEmpty()
+
+
 def read_csv(session: Session, paths: list[str], options: dict, declared: list[tuple[str, str]]) -> DataFrame:
     """CSV by Spark's reader with the options given, the dialect and the header detected where they aren't.
 
@@ -122,7 +132,7 @@ def read_csv(session: Session, paths: list[str], options: dict, declared: list[t
     lines = _head(session, paths[0], int(o.get("sample_size", SAMPLE_ROWS)) + int(o.get("skip", 0)))[int(o.get("skip", 0)) :]
     dialect = sniff(lines, o) if o.get("auto_detect", True) else {"delim": o.get("delim", ","), "quote": o.get("quote", '"'), "escape": o.get("escape", '"')}
     header = bool(o["header"]) if "header" in o else (bool(lines) and _looks_like_header(lines, dialect))
-    quoted_newlines = any(line.count(dialect["quote"]) % 2 for line in lines) or o.get("parallel") is False
+    quoted_newlines = o.get("parallel") is False or _has_open_quotes(session, paths, dialect)
     reader = session.spark.read.option("sep", dialect["delim"]).option("quote", dialect["quote"]).option("escape", dialect["escape"]).option("header", str(header and not o.get("skip")).lower()).option("multiLine", str(quoted_newlines).lower())
     reader = reader.option("enforceSchema", "true").option("nullValue", "" if "null_strings" not in o else str(o["null_strings"][0] if o["null_strings"] else ""))
     if o.get("skip"):
