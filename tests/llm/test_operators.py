@@ -199,20 +199,35 @@ def test_masking(docs):
 
 
 # --- 4
-def test_grammar_round_trip():
+def stored(base, sizes, parts):
+    return repair.Shard(base, np.cumsum(sizes).tolist(), *map(repair._pack, (*parts, repair.sample_offsets(base, parts[2], parts[3]))))
+
+
+def frequent_left(seq, least):
+    often, last = Counter(), {}
+    for i, pair in enumerate(zip(seq, seq[1:])):  # uses that don't overlap
+        if last.get(pair, -2) < i - 1:
+            often[pair], last[pair] = often[pair] + 1, i
+    return [p for p, n in often.items() if n >= least]
+
+
+def test_grammar_round_trip(monkeypatch):
+    monkeypatch.setattr(repair, "SAMPLE", 4)
     r = random.Random(4)
-    for _ in range(150):
-        x = np.array([r.randint(0, 3) for _ in range(r.randint(0, 400))], np.uint32)
-        parts = repair.compress(x, 4, 6, 50, 2)
+    for _ in range(300):
+        x = np.array([r.randint(0, r.randint(0, 4)) for _ in range(r.randint(0, 400))], np.uint32)
+        least = r.randint(2, 8)
+        parts = repair.compress(x, 5, least)
+        assert not frequent_left(parts[3].tolist(), least)
         sizes, left = [], len(x)
         while left:
             sizes.append(r.randint(1, min(30, left)))
             left -= sizes[-1]
-        block = repair.Block(4, np.array(sizes, int), *map(repair._pack, parts))
-        assert block.all().tolist() == x.tolist()
+        shard = stored(5, sizes, parts)
+        assert shard.all().tolist() == x.tolist()
         at = 0
         for k, n in enumerate(sizes):
-            assert block.document(k).tolist() == x[at : at + n].tolist()
+            assert shard.document(k) == x[at : at + n].tolist()
             at += n
 
 
@@ -222,19 +237,32 @@ def test_grammar_leaves_no_frequent_pair():
     x = np.concatenate([phrases[i] for i in r.integers(0, 3000, 20_000) ** 2 // 3000]).astype(np.uint32)
     for ids in (x, np.zeros(1000, np.uint32), r.integers(0, 3, 3000).astype(np.uint32)):
         parts = repair.compress(ids, 5000)
-        seq, often = parts[3].tolist(), Counter()
-        last = {}
-        for i, pair in enumerate(zip(seq, seq[1:])):  # uses that don't overlap
-            if last.get(pair, -2) < i - 1:
-                often[pair], last[pair] = often[pair] + 1, i
-        assert max(often.values(), default=0) < repair.LEAST_USES
-        assert repair.Block(5000, np.array([len(ids)]), *map(repair._pack, parts)).all().tolist() == ids.tolist()
+        assert not frequent_left(parts[3].tolist(), repair.LEAST_USES) and len(parts[3]) < len(ids) / 2
+        assert stored(5000, [len(ids)], parts).all().tolist() == ids.tolist()
+    assert len(repair.compress(np.zeros(1 << 12, np.uint32), 1)[3]) < repair.LEAST_USES * 2
+
+
+def test_a_document_is_read_from_the_symbols_around_it():
+    x = np.tile(np.arange(1000, dtype=np.uint32), 300)
+    parts = repair.compress(x, 1000)
+    shard = stored(1000, [100] * 3000, parts)
+    looked = []
+    between = shard.grammar.between
+    shard.grammar.between = lambda symbols, begin, end: looked.append(len(symbols)) or between(symbols, begin, end)
+    assert shard.document(1777) == x[177_700:177_800].tolist() and looked[0] <= 2 * repair.SAMPLE
+
+
+def test_pairs_of_wide_symbols_are_grouped_without_packing():
+    seq = np.array([7, 9, 7, 9, 7, 7], np.uint32)
+    for most in (16, 1 << 31):
+        at, first = repair._grouped(seq, np.arange(5), most)
+        assert [x.tolist() for x in np.split(at, first[1:])] == [[4], [0, 2], [1, 3]]
 
 
 def test_files_hold_all_ids_in_order(docs, spark, tmp_path):
     lib = bpe.load_tokenizer(bpe.tokenizer_path())
     path = str(tmp_path / "ids")
-    repair.write_ids(docs, path, shards=4, block_tokens=700)
+    repair.write_ids(docs, path, parts=4, shard_tokens=700)
     got = sorted(rows(repair.read_ids(spark, path)), key=lambda r: r["start"])
     assert sum(r["n_tokens"] for r in got) == got[-1]["start"] + got[-1]["n_tokens"]
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in all_docs(docs)), key=lambda i: (i is not None, i))
