@@ -362,6 +362,14 @@ def test_levels_follow_counts():
     assert q[0] == 1 and (np.diff(q.astype(int)) >= 0).all() and (np.diff(q.astype(int)) <= 1).all() and lm_score.level(np.array([1 << 60]))[0] <= len(lm_score._STEPS)
 
 
+def test_keys_and_counts_are_packed_whole():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 500):
+        for top in (1, 255, 256, 1 << 33, (1 << 64) - 1):
+            x = np.sort(r.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert (lm_score._unpack(lm_score._pack(x)) == x).all() and (lm_score._unpack_keys(lm_score._pack_keys(x)) == x).all()
+
+
 def brute_lm(table):
     """doc_id -> score from exact counts, quantised by the means of their levels."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

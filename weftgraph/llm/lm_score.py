@@ -73,23 +73,29 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """As few bytes a value as the greatest one needs; the first byte says how many."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """As few bytes a value as the greatest one needs, how many comes first; all lowest bytes, then all next ones."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpack(raw: bytes | None) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64) if raw else np.zeros(0, np.uint64)
+    if not raw:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as steps from one to the next."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+    """Ascending keys: the first one, then the steps from one to the next."""
+    return keys[:1].astype("<u8").tobytes() + _pack(np.diff(keys))
 
 
 def _unpack_keys(raw: bytes | None) -> np.ndarray:
-    return np.cumsum(_unpack(raw), dtype=np.uint64)
+    if not raw or len(raw) < 9:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(raw, "<u8", 1), _unpack(raw[8:]))), dtype=np.uint64)
 
 
 class LogFrequencyFilter:
@@ -294,7 +300,7 @@ def learn(coded: DataFrame, bits: int = BITS_PER_ENTRY, hot_share: int = HOT_SHA
     unigram = np.maximum(word_mean - off, 0) / max(1, tokens)
     unigram[0] = max(off * kinds / max(1, tokens), 1 / (tokens + kinds + 1))
     # at most hot_share words and as many pairs, whatever the corpus
-    hot = table.where("length(hot_words) > 1 OR length(hot_pairs) > 1").select("hot_words", "n_hot_words", "hot_pairs", "n_hot_pairs").collect()
+    hot = table.where("length(hot_words) > 8 OR length(hot_pairs) > 8").select("hot_words", "n_hot_words", "hot_pairs", "n_hot_pairs").collect()
     joined = lambda c, read: np.concatenate([np.zeros(0, np.uint64), *(read(r[c]) for r in hot)])
     hot_words, n_hot, hot_pairs, n_hot_pairs = joined("hot_words", _unpack_keys), joined("n_hot_words", _unpack), joined("hot_pairs", _unpack_keys), joined("n_hot_pairs", _unpack)
     order = np.argsort(hot_words)
