@@ -506,13 +506,64 @@ def test_replies_in_a_circle(spark):
 
 
 # --- 9
+def brute_clauses(text, insults, weights):
+    """The score by the rules as they are written, without machines."""
+    total = 0.0
+    word_class = toxicity.Scorer(insults).classify
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        words = [word_class(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        kinds = [k for k, _ in words]
+        attacks = [i for i, k in enumerate(kinds) if k in toxicity.ATTACK]
+        insult = toxicity.INSULT in kinds and set(kinds) != {toxicity.INSULT}
+        threat = toxicity.THREAT in kinds and toxicity.TARGET in kinds
+        if not insult and not threat:
+            continue
+        w = max(x for k, x in words if k == toxicity.INSULT) if insult else 0.0
+        w += weights["threat"] * threat + weights["target"] * (insult and toxicity.TARGET in kinds)
+        w += weights["negation"] * all(toxicity.NEGATION in kinds[max(0, i - 2) : i] for i in attacks)
+        w += weights["report"] * all(toxicity.REPORT in kinds[:i] for i in attacks)
+        total += math.exp(w)
+    return total
+
+
 def test_grammar_scores_clauses():
     s = toxicity.Scorer({"clod": 0.0, "dumb*": -0.1})
     plain = s.clauses("the clod sleeps")
-    assert s.clauses("you clod") > plain > s.clauses("they are never a clod") * 0.7 > 0
-    assert plain > s.clauses("it was said a clod sleeps") > 0 and s.clauses("dumbly") > 0 and s.clauses("nothing here. at all") == 0
+    assert s.clauses("you clod") > plain > s.clauses("they are never a clod") > 0
+    assert plain > s.clauses("it was said a clod sleeps") > 0 and s.clauses("dumbly so") > 0 and s.clauses("nothing here. at all") == 0
     assert s.clauses("she said. the clod sleeps") == plain  # a new clause forgets what was reported
-    assert s.clauses("you kill") > s.clauses("kill it") == 0
+    assert s.clauses("clod") == s.clauses("clod. Dumbly!") == 0  # words that stand alone are no clauses
+    assert s.clauses("i will kill you") == s.clauses("you i will kill") > 0 == s.clauses("kill it") == s.clauses("kill it. you")
+
+
+def test_grammar_matches_the_rules():
+    r = random.Random(31)
+    insults, weights = {"clod": -0.2, "oaf": -0.6}, {"threat": 0.3, "target": 0.5, "negation": -0.9, "report": -0.4}
+    s = toxicity.Scorer(insults, weights)
+    for _ in range(20_000):
+        t = " ".join(r.choice(["clod", "oaf", "you", "not", "said", "kill", "tree", "."]) for _ in range(r.randint(0, 9)))
+        assert math.isclose(s.clauses(t), brute_clauses(t, insults, weights), abs_tol=1e-12), t
+
+
+def test_weights_follow_the_clauses():
+    plain, told = frozenset({"insult"}), frozenset({"insult", "report"})
+    none = toxicity.choose_weights({})
+    assert none == toxicity.PRIOR
+    more = toxicity.choose_weights({(plain, 1): 900, (plain, 0): 100, (told, 1): 50, (told, 0): 950})
+    assert more["report"] < -4 and more["target"] == none["target"]
+    few = toxicity.choose_weights({(plain, 1): 900, (plain, 0): 100, (told, 0): 1})
+    assert none["report"] > few["report"] > more["report"]
+
+
+def test_the_layout_of_files_changes_no_score(spark):
+    r = random.Random(13)
+    bad = ["blorgh", "znurk"]
+    texts = [sentence(20, r) + (" you " + r.choice(bad) + " " + sentence(5, r) if i % 4 == 0 else "") for i in range(60)]
+    table = [(i, texts[i % 60] if i % 3 else texts[i % 7]) for i in range(300)]  # copies
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(any(b in t for b in bad))) for i, t in table], "doc_id long, quality int, toxic int")
+    one, many = ({x["doc_id"]: x["score"] for x in rows(toxicity.score(df.repartition(n), labels.repartition(n)))} for n in (1, 16))
+    assert one == many and 0 < sum(x > 0.3 for x in one.values()) < 300
 
 
 def test_toxicity_learns_from_training_rows(spark):
