@@ -440,40 +440,82 @@ def test_without_training_documents(spark):
 
 
 # --- 7
-def test_index_finds_what_brute_force_finds():
+def brute_hits(texts, items):
+    """(text, item) -> score, of every window of every text against every item."""
+    stats = decontaminate.Statistics.of([t for _, t in items])
+    found = {}
+    for i, item in items:
+        ws = decontaminate.terms(item)
+        impact = {}
+        for w, tf in Counter(ws).items():
+            idf = math.log(1 + (stats.items - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
+            impact[w] = idf * tf * (decontaminate.K1 + 1) / (tf + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / stats.mean))
+        halves = [decontaminate.grams(h) for h in decontaminate.question_and_answer(item)]
+        stride = decontaminate.stride_of(len(ws))
+        for d, t in enumerate(texts):
+            w = decontaminate.terms(t)
+            for b in range(0, len(w), stride):
+                passage = w[b : b + 2 * stride]
+                score = sum(impact.get(x, 0) for x in set(passage)) / (decontaminate.SHARE * sum(impact.values()))
+                shares = [len(g & set(zip(*[passage[k:] for k in range(len(next(iter(g), ())))]))) / len(g) if g else 1.0 for g in halves]
+                if score >= 1 and shares[0] >= decontaminate.QUESTION_SHARE and shares[1] >= decontaminate.ANSWER_SHARE:
+                    found[d, i] = max(found.get((d, i), 0), score)
+    return found
+
+
+def test_index_finds_what_brute_force_finds(monkeypatch):
     r = random.Random(9)
-    items = [(i, sentence(r.randint(8, 30), r).capitalize() + ". " + sentence(6, r) + ".") for i in range(40)]
+    items = [(i, sentence(r.randint(8, 30) if i else 400, r).capitalize() + ". " + sentence(6, r) + ".") for i in range(40)]
     texts = [sentence(r.randint(0, 300), r) for _ in range(60)]
     texts = [t + " " + items[k % 40][1] + " " + sentence(40, r) if k % 3 == 0 else t for k, t in enumerate(texts)] + ["", None]
-    ix = decontaminate.BlockMaxIndex(items)
-    got = {(d, i): s for d, i, s, _, _ in ix.hits(texts)}
-    want = {}
-    for d, t in enumerate(texts):
-        w = decontaminate.terms(t)
-        for b in range(0, len(w), ix.longest):
-            passage = w[b : b + 2 * ix.longest]
-            query = {ix.vocab[x] for x in passage if x in ix.vocab}
-            scores = Counter()
-            for q in query:
-                for i, x in zip(ix.items[q], ix.impacts[q]):
-                    scores[i] += x
-            for i, x in scores.items():
-                q, a = ix.verify(i, passage)
-                if x >= 1 and q >= decontaminate.QUESTION_SHARE and a >= decontaminate.ANSWER_SHARE:
-                    want[d, i] = max(want.get((d, i), 0), x)
-    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
-    assert all((d, d % 40) in got for d in range(0, 60, 3))
-
-
-def test_contaminated_over_several_indexes(spark, monkeypatch, docs):
-    items = [(1, sentence(25) + ". " + sentence(9) + "."), (2, None), (3, ""), (4, sentence(30) + ". " + sentence(5) + ".")]
+    # half of an item's words: near the threshold from either side
+    texts += [" ".join(w for w in items[k][1].split() if r.random() < 0.8) for k in range(40)]
+    want = brute_hits(texts, items)
+    for most in (4_000_000, 50):
+        monkeypatch.setattr(decontaminate, "MOST_SUMS", most)
+        got = {(d, i): s for d, i, s, _, _ in decontaminate.Benchmark(items).hits(texts)}
+        assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert all((d, d % 40) in got for d in range(0, 60, 3)) and len({d for d, _ in got if d >= 62}) > 5
+
+
+def test_search_alone_finds_all_above_threshold():
+    r = random.Random(19)
+    items = [(i, sentence(20, r)) for i in range(30)]
+    (ix,) = (b := decontaminate.Benchmark(items)).indexes
+    for _ in range(200):
+        query = sorted({b.vocab[w] for w in sentence(r.randint(1, 40), r).split() if w in b.vocab})
+        scores = Counter()
+        for t in query:
+            for i, x in zip(*ix.postings(t)[:2]):
+                scores[i] += x
+        assert {i: round(x, 9) for i, x in ix.search(query)} == {i: round(x, 9) for i, x in scores.items() if x >= 0.9999}
+
+
+def test_the_parts_of_a_benchmark_change_nothing(spark, monkeypatch, docs):
+    r = random.Random(29)
+    items = [(i, sentence(r.randint(10, 60), r) + ". " + sentence(9, r) + ".") for i in range(30)] + [(40, None), (41, "")]
     bench = spark.createDataFrame([(*x, "extra") for x in items], "item_id long, text string, doc_id string")
-    more = spark.createDataFrame([(500, sentence(90) + " " + items[0][1], "en", 1, 2, 3, "w", 4), (501, items[3][1] + " " + sentence(50), "en", 1, 2, 3, "w", 4)], SCHEMA)
-    monkeypatch.setattr(decontaminate.indexes, "__defaults__", ("item_id", "text", 100))
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.unionByName(more), bench).collect()} == {(500, 1), (501, 4)}
-    left = decontaminate.drop_contaminated(docs.unionByName(more), bench)
-    assert left.columns == docs.columns and left.count() == docs.count()
-    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    edited = [" ".join(w if r.random() < 0.85 else "zz" for w in t.split()) for _, t in items[:30]]
+    more = spark.createDataFrame([(500 + k, sentence(90) + " " + t, "en", 1, 2, 3, "w", 4) for k, t in enumerate(edited)], SCHEMA)
+    both = docs.unionByName(more)
+    one = sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in decontaminate.contaminated(both, bench).collect())
+    left = sorted((x.doc_id is not None, x.doc_id) for x in decontaminate.drop_contaminated(both, bench).collect())
+    monkeypatch.setattr(decontaminate.benchmarks, "__defaults__", ("item_id", "text", 1500))
+    assert one == sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in decontaminate.contaminated(both, bench).collect()) and 5 < len(one) < 30
+    out = decontaminate.drop_contaminated(both, bench)
+    assert out.columns == docs.columns and sorted((x.doc_id is not None, x.doc_id) for x in out.collect()) == left
+    assert len(left) == docs.count() + 30 - len({d for d, _, _ in one})
+    none = bench.limit(0)
+    assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.drop_contaminated(docs, none).count() == docs.count() and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_an_index_is_sparse():
+    import pickle
+
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{int(30_000 * r.random() ** 3)}" for _ in range(20))) for i in range(7_000)]
+    made = decontaminate.Benchmark(items)
+    assert len(pickle.dumps(made)) < 25 * sum(len(t) for _, t in items)
 
 
 # --- 8

@@ -35,7 +35,7 @@ def test_pipeline_matches_the_operators_one_by_one(spark):
                 root[max(x, y)] = min(x, y)
     one = {find(i) for i in good}
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    index = decontaminate.BlockMaxIndex([(r.item_id, r.text) for r in bench])
+    index = decontaminate.Benchmark([(r.item_id, r.text) for r in bench])
     order = sorted(one)
     hit = {order[h[0]] for h in index.hits([rows[i] for i in order])}
     out = corpus_pipeline.run(spark, SF)

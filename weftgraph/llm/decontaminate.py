@@ -1,17 +1,20 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items.
 
 The index holds, for each term, the items that contain it with their BM25 impacts, in blocks of items with the
-block's largest impact. Impacts are divided by the item's threshold (a share of the score that the item's own
-text gets), so that "above threshold" is a score of 1 for every item. A passage is a window of two strides; a
-stride is as long as the longest item, so every occurrence of an item lies whole in some window.
-
-Block-max WAND in two steps: for all windows of a batch at once, the block maxima of their terms are added up
-and (window, block) pairs whose bound stays under 1 are skipped; what is left is searched document-at-a-time
-with cursors, a pivot by the terms' maxima, and the block maxima to pass over blocks. Nothing above threshold
-is lost by either bound. Hits are verified on word n-grams, the item's question and its answer separately.
-
-The index is built from the benchmark table in blocks of bounded size, each broadcast by itself, so a benchmark
-of any size works with a fixed amount of memory on each worker.
+block's largest impact. Impacts are divided by the item's threshold (a share of the score that the item's own text
+gets), so that "above threshold" is a score of 1 for every item. Items are indexed by length: a passage is a window of
+two strides, and the stride of an index is the power of two that its items fit in, so every occurrence of an item lies
+whole in some window and a long item widens the windows of no other.
+
+Block-max WAND in two steps. For all windows of a batch at once: the terms of a window whose maxima together stay under
+1 can't make a hit by themselves, so only blocks that hold one of its other terms are looked at, and of those only the
+ones where the block maxima of these terms and the maxima of the rest reach 1. What is left is searched
+document-at-a-time with cursors, a pivot by the terms' maxima, and the block maxima to pass over blocks. Nothing above
+threshold is lost by either bound. Hits are verified on word n-grams, the item's question and its answer separately.
+
+Numbers of items with a term, of items, and their mean length are those of the whole benchmark, computed in Spark. The
+index is held in sparse arrays and broadcast in passes of `INDEX_BYTES` of benchmark text each (mostly one); an item's
+scores and hits don't depend on the pass it is in.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import groups
+from .common import materialise
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage needs, and shares of n-grams of question and answer.
 SHARE, QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6, 0.5
 BLOCK_ITEMS = 4
-#: Bytes of benchmark text per index: what a broadcast holds is in proportion to it.
+LEAST_STRIDE = 32
+#: Bytes of benchmark text per pass: what a broadcast holds is in proportion to it.
 INDEX_BYTES = 4_000_000
+#: Sums of block maxima that are held at once.
+MOST_SUMS = 4_000_000
 #: Characters of documents whose windows are bounded at once.
 GROUP_CHARS = 3_000_000
 
@@ -63,40 +71,70 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(*[words[i:] for i in range(n)])) if n else set()
 
 
+def stride_of(words: int) -> int:
+    return max(LEAST_STRIDE, 1 << (words - 1).bit_length())
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of the whole benchmark; df of the terms at hand at least."""
+
+    items: int
+    mean: float
+    df: dict[str, int]
+
+    @staticmethod
+    def of(texts: list[str]) -> Statistics:
+        words = [w for w in map(terms, texts) if w]
+        return Statistics(len(words), sum(map(len, words)) / max(1, len(words)), Counter(t for w in words for t in set(w)))
+
+
 class BlockMaxIndex:
-    """BM25 impacts of items, divided by each item's threshold, with maxima by term and block."""
-
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, block: int = BLOCK_ITEMS):
-        items = [(i, t) for i, t in items if terms(t)]
-        self.ids, self.block = [i for i, _ in items], block
-        words = [terms(t) for _, t in items]
-        self.parts = [tuple(map(grams, question_and_answer(t))) for _, t in items]
-        self.sizes = [tuple(map(len, question_and_answer(t))) for _, t in items]
-        self.longest = max(map(len, words), default=1)
-        n, mean = len(items), sum(map(len, words)) / max(1, len(items))
-        df = Counter(w for ws in words for w in set(ws))
-        self.vocab = {w: t for t, w in enumerate(sorted(df))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in df]
-        for i, ws in enumerate(words):
+    """BM25 impacts of items of one stride, divided by each item's threshold, with maxima by term and block."""
+
+    def __init__(self, items: list[tuple[int, str]], stats: Statistics, vocab: dict[str, int], stride: int, share: float = SHARE, block: int = BLOCK_ITEMS):
+        self.ids, self.block, self.stride = [i for i, _ in items], block, stride
+        halves = [question_and_answer(t) for _, t in items]
+        self.parts = [tuple(map(grams, h)) for h in halves]
+        rows: list[tuple[int, int, float]] = []
+        for i, (_, text) in enumerate(items):
+            ws = terms(text)
             hits = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                hits[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
-            least = share * sum(hits.values())
-            for w, x in hits.items():
-                postings[self.vocab[w]].append((i, x / least))
-        self.items = [[i for i, _ in p] for p in postings]
-        self.impacts = [[x for _, x in p] for p in postings]
-        self.n_blocks = (n + block - 1) // block
-        self.block_max = np.zeros((len(df), max(1, self.n_blocks)), np.float32)
-        for t, (it, x) in enumerate(zip(self.items, self.impacts)):
-            np.maximum.at(self.block_max[t], np.array(it) // block, np.array(x, np.float32))
-        self.term_max: list[float] = self.block_max.max(1).tolist() if len(df) else []
+                idf = math.log(1 + (stats.items - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
+                hits[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / stats.mean))
+            least = share * math.fsum(hits.values())
+            rows += [(vocab[w], i, x / least) for w, x in hits.items()]
+        rows.sort()
+        term = np.array([t for t, _, _ in rows], np.int64)
+        self.item = np.array([i for _, i, _ in rows], np.int32)
+        self.impact = np.array([x for _, _, x in rows])
+        every = np.arange(len(vocab) + 1)
+        self.first = np.searchsorted(term, every)  # of each term's postings
+        keys, at = np.unique(term * (len(items) // block + 1) + self.item // block, return_index=True)
+        self.blocks = (keys % (len(items) // block + 1)).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.impact, at) if len(at) else self.impact
+        self.first_block = np.searchsorted(keys // (len(items) // block + 1), every)  # of each term's blocks
+        self.term_max = np.zeros(len(vocab))
+        np.maximum.at(self.term_max, term, self.impact)
+        self._lists: dict[int, tuple[list[int], list[float], dict[int, float]]] = {}
+
+    def postings(self, t: int) -> tuple[list[int], list[float], dict[int, float]]:
+        """A term's items, their impacts, and its maxima by block."""
+        if t not in self._lists:
+            if len(self._lists) > 20_000:
+                self._lists.clear()
+            a, b = self.first[t : t + 2].tolist()
+            c, d = self.first_block[t : t + 2].tolist()
+            self._lists[t] = self.item[a:b].tolist(), self.impact[a:b].tolist(), dict(zip(self.blocks[c:d].tolist(), self.maxima[c:d].tolist()))
+        return self._lists[t]
 
     def search(self, query: list[int], blocks: set[int] | None = None) -> list[tuple[int, float]]:
         """(item, score) of all items with a score of 1 or more; `blocks` holds those that may have some."""
         end = len(self.ids)
-        cursors = [[self.items[t][0], 0, t] for t in query]
+        held = {t: self.postings(t) for t in query}
+        cursors = [[held[t][0][0], 0, t] for t in query if held[t][0]]
+        peak = {t: float(self.term_max[t]) for t in query}
         found = []
         while True:
             cursors.sort()
@@ -104,7 +142,7 @@ class BlockMaxIndex:
             for k, (at, _, t) in enumerate(cursors):
                 if at >= end:
                     break
-                bound += self.term_max[t]
+                bound += peak[t]
                 if bound >= 0.9999:
                     pivot = k
                     break
@@ -114,27 +152,27 @@ class BlockMaxIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // self.block
-            if blocks is not None and block not in blocks or sum(self.block_max[t][block] for _, _, t in cursors[: pivot + 1]) < 0.9999:
+            if blocks is not None and block not in blocks or sum(held[t][2].get(block, 0.0) for _, _, t in cursors[: pivot + 1]) < 0.9999:
                 # no item up to the end of this block can do with these terms alone; the next cursor may add to it
                 upto = (block + 1) * self.block
                 if pivot + 1 < len(cursors):
                     upto = min(upto, cursors[pivot + 1][0])
-                self._advance(cursors[: pivot + 1], max(upto, item + 1))
+                self._advance(held, cursors[: pivot + 1], max(upto, item + 1))
             elif cursors[0][0] == item:
-                score = sum(self.impacts[t][p] for _, p, t in cursors[: pivot + 1])
+                score = math.fsum(held[t][1][p] for _, p, t in cursors[: pivot + 1])
                 if score >= 0.9999:
                     found.append((item, score))
-                self._advance(cursors[: pivot + 1], item + 1)
+                self._advance(held, cursors[: pivot + 1], item + 1)
             else:
-                self._advance(cursors[:pivot], item)
+                self._advance(held, cursors[:pivot], item)
 
-    def _advance(self, cursors: list[list[int]], item: int) -> None:
+    def _advance(self, held: dict[int, tuple], cursors: list[list[int]], item: int) -> None:
         end = len(self.ids)
         for c in cursors:
             if c[0] < item:
-                held = self.items[c[2]]
-                c[1] = bisect_left(held, item, c[1])
-                c[0] = held[c[1]] if c[1] < len(held) else end
+                items = held[c[2]][0]
+                c[1] = bisect_left(items, item, c[1])
+                c[0] = items[c[1]] if c[1] < len(items) else end
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's and the answer's n-grams that the passage has."""
@@ -145,62 +183,113 @@ class BlockMaxIndex:
             shares.append(len(gs & have) / len(gs) if gs else 1.0)
         return shares[0], shares[1]
 
+    def candidates(self, window: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, np.ndarray, set[int]]]:
+        """(window, its terms, blocks that may hold a hit) from pairs in order of windows."""
+        mine = self.term_max[term] > 0
+        window, term = window[mine], term[mine]
+        order = np.lexsort((self.term_max[term], window))
+        term = term[order]
+        peak = self.term_max[term]
+        start = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1]))[: len(window)])
+        size = np.diff(start, append=len(window))
+        total = np.cumsum(peak)
+        total -= np.repeat(total[start] - peak[start], size)  # of a window's terms up to here, low maxima first
+        weak = total < 0.9998
+        rest = np.add.reduceat(np.where(weak, peak, 0.0), start) if len(start) else total
+        strong = np.flatnonzero(~weak)
+        if not len(strong):
+            return
+        number = np.repeat(np.arange(len(start)), size)[strong]  # windows counted from 0
+        width = (self.first_block[term[strong] + 1] - self.first_block[term[strong]]).astype(np.int64)
+        cuts = np.searchsorted(np.cumsum(width), np.arange(MOST_SUMS, int(width.sum()) + MOST_SUMS, MOST_SUMS))
+        low, n_blocks = 0, len(self.ids) // self.block + 1
+        for cut in cuts.tolist():
+            high = min(cut + 1, len(strong))
+            while high < len(strong) and number[high] == number[high - 1]:  # whole windows
+                high += 1
+            if high <= low:
+                continue
+            w = width[low:high]
+            at = np.repeat(self.first_block[term[strong[low:high]]] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+            key, back = np.unique(np.repeat(number[low:high], w) * n_blocks + self.blocks[at], return_inverse=True)
+            bound = np.bincount(back, self.maxima[at]) + rest[key // n_blocks]
+            key = key[bound >= 0.9998]
+            blocks: dict[int, set[int]] = defaultdict(set)
+            for n, b in zip((key // n_blocks).tolist(), (key % n_blocks).tolist()):
+                blocks[n].add(b)
+            for n, some in blocks.items():
+                yield int(window[start[n]]), term[start[n] : start[n] + size[n]], some
+            low = high
+
+    def hits(self, words: list[list[str]], sizes: np.ndarray, tid: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text, item, score, question share, answer share), the best window of each text and item.
+
+        `tid` are the numbers of all words of the texts, one text after the other, -1 for words of no item.
+        """
+        stride = self.stride
+        segs = np.maximum(1, (sizes + stride - 1) // stride)
+        first = np.concatenate(([0], np.cumsum(segs)))  # of each text
+        known = np.flatnonzero(tid >= 0)
+        text = np.repeat(np.arange(len(words)), sizes)[known]
+        seg = first[text] + (known - (np.cumsum(sizes) - sizes)[text]) // stride
+        # a window is a stride and the next one; the last stride of a text is in the window before it
+        ahead, behind = (seg < first[text + 1] - 1) | (segs[text] == 1), seg > first[text]
+        n_terms = len(self.first) - 1
+        pairs = np.unique(np.concatenate((seg[ahead] * n_terms + tid[known[ahead]], (seg[behind] - 1) * n_terms + tid[known[behind]])))
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for window, query, blocks in self.candidates(pairs // n_terms, pairs % n_terms):
+            d = int(np.searchsorted(first, window, "right")) - 1
+            begin = (window - int(first[d])) * stride
+            passage = words[d][begin : begin + 2 * stride]
+            for item, score in self.search(query.tolist(), blocks):
+                q, a = self.verify(item, passage)
+                if q >= QUESTION_SHARE and a >= ANSWER_SHARE and score > best.get((d, item), (0.0,))[0]:
+                    best[d, item] = score, q, a
+        for (d, item), (score, q, a) in best.items():
+            yield d, item, score, q, a
+
+
+class Benchmark:
+    """The indexes of some items, one for each stride, over one vocabulary."""
+
+    def __init__(self, items: list[tuple[int, str]], stats: Statistics | None = None):
+        items = sorted((i, t) for i, t in items if terms(t))
+        stats = stats or Statistics.of([t for _, t in items])
+        self.vocab = {w: n for n, w in enumerate(sorted({w for _, t in items for w in terms(t)}))}
+        by_stride: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for i, t in items:
+            by_stride[stride_of(len(terms(t)))].append((i, t))
+        self.indexes = [BlockMaxIndex(some, stats, self.vocab, stride) for stride, some in sorted(by_stride.items())]
+
     def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
-        """(text, item, score, question share, answer share), the best window of each text and item."""
-        stride = self.longest
+        """(text, item_id, score, question share, answer share)."""
         look = self.vocab.get
         words = [terms(t) for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        segs = (sizes + stride - 1) // stride
-        first = np.concatenate(([0], np.cumsum(segs)))  # of each text
-        if first[-1] == 0 or not self.ids:
-            return
         tid = np.fromiter((look(w, -1) for ws in words for w in ws), np.int64, int(sizes.sum()))
-        within = np.arange(len(tid)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        seg = np.repeat(first[:-1], sizes) + within // stride
-        known = tid >= 0
-        pairs = np.unique(seg[known] * len(self.vocab) + tid[known])
-        pair_seg, pair_term = pairs // len(self.vocab), pairs % len(self.vocab)
-        starts = np.searchsorted(pair_seg, np.arange(first[-1] + 1))
-        bound = np.zeros((int(first[-1]) + 1, self.n_blocks), np.float32)
-        for low in range(0, int(first[-1]), 16_384):  # bounded memory for the gathered rows
-            high = min(int(first[-1]), low + 16_384)
-            a, b = starts[low], starts[high]
-            if a < b:
-                full = np.flatnonzero(starts[low:high] < starts[low + 1 : high + 1])
-                bound[low + full] = np.add.reduceat(self.block_max[pair_term[a:b]], starts[low + full] - a, axis=0)
-        text_of = np.repeat(np.arange(len(words)), segs)
-        last = np.concatenate((text_of[1:] != text_of[:-1], [True]))
-        bound[:-1] += np.where(last[:, None], 0, bound[1:])
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        rows, blocks = np.nonzero(bound[:-1] >= 0.9999)
-        windows: dict[int, set[int]] = defaultdict(set)
-        for r, b in zip(rows.tolist(), blocks.tolist()):
-            windows[r].add(b)
-        for r, some in windows.items():
-            a, b = starts[r], starts[r + 1 if last[r] else r + 2]
-            query = np.unique(pair_term[a:b]).tolist()
-            found = self.search(query, some)
-            if found:
-                d = int(text_of[r])
-                begin = (r - int(first[d])) * stride
-                passage = words[d][begin : begin + 2 * stride]
-                for item, score in found:
-                    q, ans = self.verify(item, passage)
-                    if q >= QUESTION_SHARE and ans >= ANSWER_SHARE and score > best.get((d, item), (0.0,))[0]:
-                        best[d, item] = score, q, ans
-        for (d, item), (score, q, ans) in best.items():
-            yield d, item, score, q, ans
-
-
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = INDEX_BYTES) -> Iterator[BlockMaxIndex]:
-    """Indexes over parts of the benchmark, each of about `most_bytes` of text."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = math.ceil(total / most_bytes)
+        for index in self.indexes:
+            for d, item, *shares in index.hits(words, sizes, tid):
+                yield (d, index.ids[item], *shares)
+
+
+def benchmarks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = INDEX_BYTES) -> Iterator[Benchmark]:
+    """Indexes over parts of the benchmark, each of about `most_bytes` of text, with the statistics of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())), pa.array(map(len, words), pa.int64())], names=["id", "t", "terms", "n"])
+
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    items = materialise(items.mapInArrow(run, "id long, t string, terms array<string>, n long").where("n > 0"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("size"), F.count("*").alias("items"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).first()
+    df = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    parts = math.ceil(total.size / most_bytes)
+    df = materialise(df) if parts > 1 else df
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part) if parts > 1 else items
-        yield BlockMaxIndex(sorted((r.id if r.id is not None else -1, r.t) for r in mine.collect()))
+        some = df.join(mine.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi") if parts > 1 else df
+        yield Benchmark([(r.id, r.t) for r in mine.select("id", "t").collect()], Statistics(total["items"], total.mean, {r.term: r.df for r in some.collect()}))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = "doc_id long, item_id long, score double, question_share double, answer_share double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for index in indexes(benchmark):
+    for index in benchmarks(benchmark):
         shared = sc.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -222,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for start, texts in groups(batch.column(1), GROUP_CHARS):
                     hits = list(shared.value.hits(texts))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([shared.value.ids[h[1]] for h in hits], pa.int64()), *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]],
+                        [batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]],
                         names=["doc_id", "item_id", "score", "question_share", "answer_share"],
                     )
 
@@ -232,10 +321,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without a verified hit, as they were; nothing is shuffled."""
+    """The rows of docs without a verified hit, all columns as they were; nothing is shuffled.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table gives an empty result, and without
+    items every row stays. No column is added, so names can't clash.
+    """
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
-    for index in indexes(benchmark):
+    for index in benchmarks(benchmark):
         shared = sc.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
