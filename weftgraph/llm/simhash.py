@@ -55,15 +55,17 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) per row, fp as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) per row and the named columns of longs, fp as a signed long."""
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *carry))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry).mapInArrow(run, schema)
 
 
 def cells(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
@@ -102,6 +104,16 @@ def links(fps: DataFrame, segments: int = SEGMENTS, pair_cell: int = PAIR_CELL)
     return pairs.unionByName(stars)
 
 
+def _components(fps: DataFrame, *least: str) -> DataFrame:
+    """(fp, n, component): rows with each fingerprint, and the least struct of the named columns in its component."""
+    groups = materialise(fps.groupBy("fp").agg(F.min(F.struct(*least)).alias("least"), F.count("*").alias("n")))
+    label = connected_components(links(groups.select("fp")))
+    linked = groups.join(label.withColumnRenamed("node", "fp"), "fp")
+    root = linked.groupBy("root").agg(F.min("least").alias("least_of_root"))
+    named = linked.join(root, "root").select("fp", "least_of_root")
+    return groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_of_root", "least").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, the least doc_id reachable.
 
@@ -110,13 +122,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     fps = materialise(fingerprints(docs, id_col, text_col))
-    groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    label = connected_components(links(groups.select("fp")))
-    linked = groups.join(label.withColumnRenamed("node", "fp"), "fp")
-    root = linked.groupBy("root").agg(F.min("least").alias("least_of_root"))
-    named = linked.join(root, "root").select("fp", "least_of_root")
-    known = groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_of_root", "least").alias("component_id"))
-    known = materialise(known)
+    # a struct of a null id would be the least: nulls last
+    least = _components(fps.withColumn("none", F.col("doc_id").isNull()), "none", "doc_id")
+    known = materialise(least.select("fp", "n", F.col("component.doc_id").alias("component_id")))
     # a fingerprint of many copies would send their rows to one task: the few that can be so frequent are broadcast
     least_hot = fps.count() / HOT_SHARE
     hot = F.broadcast(known.where(F.col("n") > least_hot).drop("n"))
@@ -126,9 +134,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document per component, its smallest id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    key = own_name(docs, "kept_id")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, docs[id_col] == keep[key], "left_semi").dropDuplicates([id_col])
+    """The rows of docs with one row per component, all columns as they were.
+
+    The row that stays has the smallest id of the component and, where rows repeat that id, the smallest hash of
+    its text; of rows that are alike in both any one stays. So rows with one id and unlike texts are kept or
+    dropped each on its own. A null text counts as empty. Rows with a null id all stay; an empty table gives an
+    empty result. Added columns get names that docs doesn't have.
+    """
+    key, digest = own_name(docs, "kept_id"), own_name(docs, "text_digest")
+    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    some = marked.where(F.col(id_col).isNotNull())
+    fps = materialise(fingerprints(some, id_col, text_col, [digest]))
+    keep = _components(fps, "doc_id", digest).select(F.col("component.doc_id").alias(key), F.col(f"component.{digest}").alias(f"{digest}_kept")).distinct()
+    on = (some[id_col] == keep[key]) & (some[digest] == keep[f"{digest}_kept"])
+    kept = some.join(keep, on, "left_semi").dropDuplicates([id_col, digest]).drop(digest)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
