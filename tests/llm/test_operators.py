@@ -127,6 +127,14 @@ def test_keep_one(docs):
     assert 6 in ids and 7 not in ids and 8 not in ids and None in ids
 
 
+def test_keep_one_chooses_rows_not_ids(spark):
+    one, other = sentence(60), sentence(60)
+    table = [(2, one, 0), (5, one, 1), (5, other, 2), (5, other, 3), (9, other, 4), (None, one, 5), (None, None, 6), (7, None, 7), (8, "", 8)]
+    kept = simhash.keep_one(spark.createDataFrame(table, "doc_id long, text string, kept_id int").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == sorted([(2, one), (5, other), (7, None)])
+    assert sorted(r.kept_id for r in kept if r.doc_id is None) == [5, 6]
+
+
 # --- 2
 def test_quality_figures_and_verdict(docs):
     for r in rows(quality.measure(docs)):
@@ -138,12 +146,11 @@ def test_quality_figures_and_verdict(docs):
         assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w)) and r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t))
         assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_repeat_words"] == len(covered)
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        every = [n for n, rule in quality.RULES.items() if rule(quality.Figures(t))]
+        every = [n for n, rule in quality.RULES.items() if rule.rejects(quality.Figures(t))]
         assert r["kept"] == (not every)
 
 
 def test_cascade_order_changes_nothing(docs):
-    assert quality.cascade_order([("a", 1.0, 0.5), ("b", 0.1, 0.2), ("c", 0.5, 0.0), ("d", 0.2, 0.0)]) == ["b", "a", "d", "c"]
     for _, t in all_docs(docs):
         orders = [list(quality.RULES), list(quality.RULES)[::-1]]
         assert len({quality.rejected_by(quality.Figures(t), o) is None for o in orders}) == 1
@@ -151,6 +158,24 @@ def test_cascade_order_changes_nothing(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r["doc_id"] for r in rows(quality.measure(docs)) if r["kept"]}
 
 
+def test_rules_are_ordered_by_rejections_per_cost():
+    needs = {n: quality.Rule((n,), lambda f: False) for n in "abcd"}
+    cost = {"a": 1.0, "b": 0.1, "c": 0.5, "d": 0.2}
+    # b rejects 2 of 10 for 0.1, a 5 for 1; c nothing that a leaves; d nothing at all
+    e = quality.Estimate(cost, {frozenset("ab"): 2, frozenset("ac"): 1, frozenset("a"): 2, frozenset(): 5})
+    assert quality.cascade_order(e, needs) == ["b", "a", "d", "c"]
+    shared = {"x": quality.Rule(("a",), lambda f: False), "y": quality.Rule(("a", "d"), lambda f: False), "z": quality.Rule(("c",), lambda f: False)}
+    e = quality.Estimate({"a": 1.0, "d": 0.1, "c": 0.5}, {frozenset("x"): 6, frozenset("y"): 1, frozenset("z"): 2, frozenset(): 1})
+    assert quality.cascade_order(e, shared) == ["x", "y", "z"]  # y costs little once x has computed a
+
+
+def test_the_cascade_stops_early(docs):
+    got = sorted(rows(quality.report(docs)), key=lambda r: r["place"])
+    assert [r["rule"] for r in got] != [] and {r["rule"] for r in got} == set(quality.RULES)
+    assert got[0]["asked"] == docs.count() and all(a["asked"] - a["rejected"] == b["asked"] for a, b in zip(got, got[1:])) and got[-1]["asked"] < docs.count()
+    assert got[-1]["asked"] - got[-1]["rejected"] == sum(r["kept"] for r in rows(quality.measure(docs)))
+
+
 # --- 3
 def brute_spans(t):
     found = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule says whether it rejects a text and asks for the figures it needs, which are computed when first asked
-for. On a bounded sample every rule is timed on its own and its share of rejections counted; rules then run in
-falling order of rejections per cost and a text leaves at its first rejection. The verdict is that of all rules
-together, so the order (and the sample behind it) changes the cost and nothing else.
+Each rule says whether it rejects a text and which figures it needs; a figure is computed when first asked for. On a
+bounded sample, some rows of tasks spread over the whole table, the time of every figure and the set of rules that
+reject each text are noted. Rules are then chosen one by one: next is the one with the most rejections, among the
+sample's texts that all earlier ones let pass, per second of the figures that those haven't computed. A text leaves at
+its first rejection. The verdict is that of all rules together, so the order (and the sample behind it) changes the
+cost and nothing else.
 """
 
 from __future__ import annotations
@@ -11,15 +13,17 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents of the sample that costs and rejections are estimated on, and how much of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000
+#: The sample that costs and rejections are estimated on: tasks, documents of each, and how much of each.
+SAMPLE_TASKS, SAMPLE_ROWS, SAMPLE_CHARS = 32, 20, 20_000
 
 SYMBOLS = "#*$%&|<>"
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -69,52 +73,106 @@ class Figures:
         return sum(covered)
 
 
-#: name -> whether the text is rejected. Base rules first as written; they never run in this order.
-RULES: dict[str, Callable[[Figures], bool]] = {
-    "few_words": lambda f: f.n_words < 50,
-    "repeated_windows": lambda f: 100 * f.n_repeat_words > 50 * f.n_words,
-    "symbols": lambda f: 10 * f.n_symbols > f.n_words,
-    "repeated_lines": lambda f: 2 * f.n_dup_lines > len(f.lines),
-    "short_words": lambda f: f.word_chars < 2 * f.n_words,
-    "long_words": lambda f: f.word_chars > 15 * f.n_words,
-}
-BASE = ("few_words", "repeated_windows")
+#: What each figure is computed from, in an order in which they can be timed one after the other.
+DEPENDS = {"words": (), "n_words": ("words",), "word_chars": (), "n_symbols": (), "lines": (), "n_dup_lines": ("lines",), "n_repeat_words": ("words",)}
 
 
-def estimate(texts: list[str | None], rules: dict[str, Callable[[Figures], bool]]) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on a sample, each rule by itself."""
-    found = []
-    for name, rule in rules.items():
-        began = time.perf_counter()
-        rejected = sum(rule(Figures(t)) for t in texts)
-        n = max(1, len(texts))
-        found.append((name, (time.perf_counter() - began) / n, rejected / n))
-    return found
+@dataclass(frozen=True)
+class Rule:
+    needs: tuple[str, ...]
+    rejects: Callable[[Figures], bool]
 
 
-def cascade_order(estimates: list[tuple[str, float, float]]) -> list[str]:
-    """Most rejections per second first; among rules that rejected nothing the cheap ones first."""
-    return [name for name, _, _ in sorted(estimates, key=lambda e: (-(e[2] / max(e[1], 1e-9)), e[1], e[0]))]
+#: Base rules first as written; the order that they run in is estimated.
+RULES: dict[str, Rule] = {
+    "few_words": Rule(("n_words",), lambda f: f.n_words < 50),
+    "repeated_windows": Rule(("n_repeat_words", "n_words"), lambda f: 100 * f.n_repeat_words > 50 * f.n_words),
+    "symbols": Rule(("n_symbols", "n_words"), lambda f: 10 * f.n_symbols > f.n_words),
+    "repeated_lines": Rule(("n_dup_lines", "lines"), lambda f: 2 * f.n_dup_lines > len(f.lines)),
+    "short_words": Rule(("word_chars", "n_words"), lambda f: f.word_chars < 2 * f.n_words),
+    "long_words": Rule(("word_chars", "n_words"), lambda f: f.word_chars > 15 * f.n_words),
+}
+BASE = ("few_words", "repeated_windows")
 
 
-def plan(docs: DataFrame, text_col: str = "text", rules: dict | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    rules = rules or RULES
-    some = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t")).limit(sample_rows).collect()
-    return cascade_order(estimate([r.t for r in some], rules))
+@dataclass
+class Estimate:
+    """Seconds of each figure over the sample, and its texts by the set of rules that reject them."""
 
+    seconds: dict[str, float]
+    rejected: dict[frozenset[str], int]
 
-def rejected_by(figures: Figures, order: list[str], rules: dict[str, Callable[[Figures], bool]] = RULES) -> str | None:
-    return next((name for name in order if rules[name](figures)), None)
+
+def estimate(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] = RULES, rows: int = SAMPLE_ROWS, tasks: int = SAMPLE_TASKS) -> Estimate:
+    """Times and rejections on the first rows of `tasks` tasks spread over the table; only sums reach the driver."""
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    every = max(1, text.rdd.getNumPartitions() // tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % every:
+            return
+        left, seconds, rejected = rows, Counter(), Counter()
+        for batch in batches:
+            for v in batch.column(0).slice(0, left):
+                f = Figures((v.as_py() or "")[:SAMPLE_CHARS])
+                for name in DEPENDS:
+                    began = time.perf_counter()
+                    getattr(f, name)
+                    seconds[name] += time.perf_counter() - began
+                rejected[",".join(n for n, r in rules.items() if r.rejects(f))] += 1
+            left -= batch.num_rows
+            if left <= 0:
+                break
+        parts = [("f", k, x) for k, x in seconds.items()] + [("r", k, float(n)) for k, n in rejected.items()]
+        yield pa.RecordBatch.from_pylist([{"what": w, "name": k, "x": x} for w, k, x in parts], pa.schema([("what", pa.string()), ("name", pa.string()), ("x", pa.float64())]))
+
+    sums = text.mapInArrow(run, "what string, name string, x double").groupBy("what", "name").agg(F.sum("x").alias("x")).collect()
+    return Estimate({r.name: r.x for r in sums if r.what == "f"}, {frozenset(filter(None, r.name.split(","))): int(r.x) for r in sums if r.what == "r"})
+
+
+def cascade_order(e: Estimate, rules: dict[str, Rule] = RULES) -> list[str]:
+    """Most rejections per second first, given the rules before it; among rules that reject nothing more the cheap ones."""
+    order, known = [], set()
+
+    def cost(name: str) -> float:
+        todo, all_ = list(rules[name].needs), set()
+        while todo:
+            f = todo.pop()
+            if f not in all_:
+                all_.add(f)
+                todo += DEPENDS.get(f, ())
+        return sum(e.seconds.get(f, 0.0) for f in all_ - known) + 1e-9
+
+    while len(order) < len(rules):
+        passed = {k: n for k, n in e.rejected.items() if not k & set(order)}
+        gain = lambda name: sum(n for k, n in passed.items() if name in k)  # noqa: B023,E731
+        best = min(rules.keys() - set(order), key=lambda name: (-gain(name) / cost(name), cost(name), name))
+        order.append(best)
+        todo = list(rules[best].needs)
+        while todo:
+            f = todo.pop()
+            known.add(f)
+            todo += DEPENDS.get(f, ())
+    return order
+
+
+def plan(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] = RULES) -> list[str]:
+    return cascade_order(estimate(docs, text_col, rules), rules)
+
+
+def rejected_by(figures: Figures, order: list[str], rules: dict[str, Rule] = RULES) -> str | None:
+    """The rule at which a text leaves the cascade; None if it passes all."""
+    return next((name for name in order if rules[name].rejects(figures)), None)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, the base figures, base_failed, and kept, the cascade's verdict.
 
-    A null text counts as empty and so fails the base rules, as does a text of white space. Repeated rows and
+    The verdict comes from the cascade; figures that it didn't need are filled in afterwards, as they are asked for
+    here. A null text counts as empty and so fails the base rules, as does a text of white space. Repeated rows and
     null ids are kept as they come, an empty table gives an empty result, other columns are ignored.
     """
-    order = [r for r in plan(docs, text_col) if r not in BASE]
-    base = [r for r in BASE]
+    order = plan(docs, text_col)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +180,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows, failed, kept = [], [], []
             for v in batch.column(1):
                 f = Figures(v.as_py())
+                leaves = rejected_by(f, order)
+                kept.append(leaves is None)
+                failed.append(leaves is not None and (leaves in BASE or rejected_by(f, BASE) is not None))
                 rows.append([getattr(f, n) for n in names])
-                failed.append(rejected_by(f, base) is not None)
-                kept.append(not failed[-1] and rejected_by(f, order) is None)
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())],
@@ -136,7 +195,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, all columns as they were; rules run in the estimated order."""
+    """The rows of docs that no rule rejects, all columns as they were; rules run in the estimated order.
+
+    Null and empty texts have too few words and go; repeated rows stay or go together; null ids make no difference;
+    an empty table gives an empty result. No column is added, so names can't clash.
+    """
     order = plan(docs, text_col)
     at = docs.columns.index(text_col)
 
@@ -147,6 +210,21 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
+def report(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(place, rule, asked, rejected): of how many texts each rule of the cascade was asked, and how many left there."""
+    order = plan(docs, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = Counter()
+        for batch in batches:
+            left.update(rejected_by(Figures(t.as_py()), order) for t in batch.column(0))
+        rows = [{"place": i, "rule": n, "asked": sum(left.values()) - sum(left[o] for o in order[:i]), "rejected": left[n]} for i, n in enumerate(order)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("place", pa.int32()), ("rule", pa.string()), ("asked", pa.int64()), ("rejected", pa.int64())]))
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "place int, rule string, asked long, rejected long")
+    return counted.groupBy("place", "rule").agg(F.sum("asked").alias("asked"), F.sum("rejected").alias("rejected"))
+
+
 #: The same figures and verdict in SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
