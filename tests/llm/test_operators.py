@@ -217,6 +217,25 @@ def test_contextual_patterns_discover_unseen_identifiers(spark):
     assert got[100].startswith("email:21:") and got[101] == ""
 
 
+def test_long_tokens_and_many_spans_are_looked_at():
+    blob = "x" * 500 + "7" + "y" * 500
+    assert list(pii.candidates(f"key {blob} end", [])) == [(4, 4 + len(blob))]
+    assert list(pii.candidates("a1b2c3" * 30_000, [])) == [(0, 180_000)]
+    long = (0, 30, 3)
+    assert list(pii.candidates("0" * 26 + "12345 67890", [long, *((i, i + 1, 1) for i in range(1, 20))])) == [(32, 37)]
+
+
+def test_joined_patterns_give_the_same_spans(spark, docs):
+    seeds = [(i, f"write to agent-mail: user{i}@host{i}.example.com today") for i in range(12)] + [(i, f"caller number: +1650555{i:04d} end") for i in range(20, 32)]
+    more = [(100, "write to agent-mail: someone77(at)host today"), (101, "there are 1234abc apples"), (102, "caller number: 5551234 end caller number: 5551235 end"), (100, "write to agent-mail: someone77(at)host today"), (None, "caller number: 777777 end"), (103, None)]
+    df = spark.createDataFrame([(*x, "extra") for x in seeds + more], "doc_id long, text string, text_digest string").unionByName(docs.select("doc_id", "text", docs.lang.alias("text_digest")))
+    key = lambda r: (r.doc_id is not None, r.doc_id, r.spans)
+    by_model, by_join = (sorted(pii.find(df, most=n).collect(), key=key) for n in (1000, 0))
+    assert by_model == by_join and sum("phone:15:" in r.spans for r in by_model) > 12
+    masks = [sorted((str(r.doc_id), r.text or "", r.text_digest or "") for r in pii.mask(df, most=n).collect()) for n in (1000, 0)]
+    assert masks[0] == masks[1] and any("caller number: <phone> end caller number: <phone> end" in x[1] for x in masks[0])
+
+
 def test_masking(docs):
     out = pii.mask(docs)
     assert out.columns == docs.columns
@@ -319,7 +338,30 @@ def test_encoding_is_the_librarys():
 def test_certain_cuts_are_in_no_token():
     b = bpe.byte_bpe(bpe.tokenizer_path())
     for piece in b.pieces[:50256]:
-        assert not any(b.certain[x, y] for x, y in zip(piece, piece[1:]))
+        assert not any(b.certain[x, y] or b.free[x, y] for x, y in zip(piece, piece[1:]))
+    for special in b.added:
+        assert not any(b.free[x, y] for x, y in zip(special, special[1:]))
+
+
+def test_cuts_inside_runs_change_no_id():
+    import base64
+
+    b = bpe.ByteBpe(bpe.tokenizer_path())
+    r = random.Random(23)
+    blocks = [[chr(c) for c in range(a, z + 1)] for a, z in bpe.CUT_BLOCKS]
+    odd = ["'", "'s", "'re", "'ll", "'ve", "'t", "<|endoftext|>", "!", "_", "\u0301", "²", "Ⅷ", "🙂", "ǅ", "ß", "l", "e", "\xa0"]
+    texts = [base64.b64encode(r.randbytes(3000)).decode(), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(3000)), "".join(chr(r.randint(0xAC00, 0xD7A3)) for _ in range(3000)), r.randbytes(2000).hex()]
+    for _ in range(1500):
+        some = [r.choice(blocks) for _ in range(3)]
+        texts.append("".join(r.choice(odd) if r.random() < 0.1 else r.choice(r.choice(some)) for _ in range(r.randint(65, 160))))
+    cuts = 0
+    for t in texts:
+        parts = b.cut(t)
+        cuts += len(parts) - 1
+        assert "".join(parts) == t
+        assert [i for p in parts for i in b.lib.encode(p, add_special_tokens=False).ids] == b.lib.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(b.encode_many([t])[0], "<u4").tolist() == b.lib.encode(t, add_special_tokens=False).ids
+    assert cuts > 20_000 and all(max(map(len, b.cut(t))) < 300 for t in texts[:3])
 
 
 def test_resynchronised_counts():

@@ -1,14 +1,23 @@
 """Byte-level BPE encoding by forced boundaries, and decoding.
 
-A byte pair that occurs inside no vocabulary token can never be merged over, so a text may be cut between its
-two bytes: both sides encode independently and their ids are concatenated. The pairs are read off the
-vocabulary. Of the certain ones those are used whose right byte is ASCII white space and whose left byte isn't:
-there the pre-tokenizer's pattern starts a new match in any case (no alternative holds white space after
-something else), and a run of white space loses at most a piece boundary at a pair that can't be merged anyway.
-Special tokens hold no white space, so no cut falls into one.
-
-The fragments are short and repeat, so each worker encodes a fragment once and keeps its ids in a bounded memo,
-which is held in Arrow and numpy arrays: some forty bytes a fragment.
+A byte pair that occurs inside no vocabulary token can never be merged over, so merging on both sides of it goes on
+independently: a merge joins two neighbours, the one across would make a token with the pair inside, and which merges
+are made on one side doesn't depend on the other. The pairs are read off the vocabulary. A text may be cut between the
+two bytes if the pre-tokenizer, too, splits the two parts as it splits the whole. That is so
+
+* before ASCII white space that follows something else: there its pattern starts a new match in any case (no
+  alternative holds white space after something else), and a run of white space loses at most a piece boundary at a
+  pair that can't be merged anyway;
+* between two letters or ASCII digits: between a letter and a digit a match ends in any case, and inside a run of one
+  kind the parts are runs of that kind, as ` ?` and the contractions begin before a run and not inside it. Only the
+  second letter of a contraction (`'re`, `'ve`, `'ll`) may be reached by a match that began before the pair; these
+  three pairs are never cut. Letters are taken from blocks that have been letters in all versions of Unicode.
+
+Pairs inside special tokens aren't certain, and no special token holds white space, so no cut falls into one.
+
+Texts are split at white space; the fragments are short and repeat, so each worker encodes a fragment once and keeps
+its ids in a bounded memo, which is held in Arrow and numpy arrays: some forty bytes a fragment. Long fragments (text
+without spaces, encoded data) are cut further between letters and digits, so that their parts are short, too.
 """
 
 from __future__ import annotations
@@ -29,6 +38,11 @@ TOKENIZER = "byte_bpe_50k.json"
 WHITE_BYTES = b"\x09\x0a\x0b\x0c\x0d\x20"
 MEMO_FRAGMENTS = 1_000_000
 MEMO_LENGTH = 64
+#: First and last code points of letters and ASCII digits between which is cut (fixed values): ASCII, Latin-1, Latin
+#: Extended-A, Greek, Cyrillic, Hiragana, Katakana, CJK ideographs, Hangul.
+CUT_BLOCKS = ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x17F), (0x3B1, 0x3C9), (0x410, 0x44F), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+#: Second and third byte of the contractions in the pre-tokenizer's pattern (fixed values).
+CONTRACTIONS = (b"re", b"ve", b"ll")
 #: Characters that are encoded at once: the more, the fewer distinct fragments for each.
 GROUP_CHARS = 8_000_000
 
@@ -86,6 +100,15 @@ class ByteBpe:
         white[list(WHITE_BYTES)] = True
         #: certain[a, b]: between the bytes a and b may always be cut
         self.certain = ~inside & ~white[:, None] & white[None, :]
+        held = inside.copy()
+        for raw in (*(c.encode() for c in plain), *CONTRACTIONS):
+            raw = np.frombuffer(raw, np.uint8)
+            held[raw[:-1], raw[1:]] = True
+        #: free[a, b]: as certain, between letters and digits
+        self.free = ~held
+        self.cuttable = np.zeros(1 << 16, bool)
+        for low, high in CUT_BLOCKS:
+            self.cuttable[low : high + 1] = True
         loose = np.flatnonzero((inside & white[None, :]).any(1) & ~white)
         w = rb"[\x09-\x0d\x20]"
         n = rb"[^\x09-\x0d\x20]"
@@ -221,9 +244,23 @@ class ByteBpe:
             return None
         return ids, np.diff(at, prepend=-1)
 
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text between certain cuts inside runs of letters and digits."""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)  # where each character begins
+        letter = (points < 1 << 16) & self.cuttable[np.minimum(points, (1 << 16) - 1)]
+        at = first[1:]
+        cuts = np.flatnonzero(letter[:-1] & letter[1:] & self.free[raw[at - 1], raw[at]]) + 1
+        return [text[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)])]
+
     def _encode_each(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.lib.encode_batch_fast([self._whole(f).decode() for f in some], add_special_tokens=False)]
-        return np.array([i for m in made for i in m], "<u4"), np.fromiter(map(len, made), np.int64, len(made))
+        parts = [[t] if len(t) <= MEMO_LENGTH else self.cut(t) for t in (self._whole(f).decode() for f in some)]
+        flat = [p for ps in parts for p in ps]
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(flat))}
+        made = [e.ids for e in self.lib.encode_batch_fast(list(distinct), add_special_tokens=False)]
+        sizes = [sum(len(made[distinct[p]]) for p in ps) for ps in parts]
+        return np.array([i for p in flat for i in made[distinct[p]]], "<u4"), np.array(sizes, np.int64)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
