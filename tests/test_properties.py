@@ -95,3 +95,38 @@ def test_shortest_and_cheapest_paths(random_graph):
     assert got == cost
     ties = tally((n[0], n[-1]) for n, r in every if sum(edges[i][2] for i in r) == cost[n[0], n[-1]])
     assert count(s, "ALL WSHORTEST(w) 1..6") == ties
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cheapest_paths_within_hops(spark, seed):
+    """Every bound against all walks: a cheap detour with many hops must not hide a dear path with few."""
+    from weftgraph.catalog import GraphCatalog
+
+    r = random.Random(seed)
+    edges = [(0, 1, 10), (0, 2, 1), (2, 3, 1), (3, 1, 1), (1, 4, 1)] if seed == 0 else [(r.randrange(7), r.randrange(7), r.choice([1, 2, 3, 20, 50])) for _ in range(12)]
+    g = GraphCatalog(spark)
+    g.add_nodes("N", spark.range(7).withColumnRenamed("id", "k"), "k")
+    g.add_rels("R", spark.createDataFrame([(a, b, w, i) for i, (a, b, w) in enumerate(edges)], "a long, b long, w long, i long"), ("N", "a"), ("N", "b"), ["w"], rid="i")
+    s = Session(spark, g)
+    for most in (1, 3, 4) if seed else (2, 3, 4):
+        every = [(n, rels, sum(edges[i][2] for i in rels)) for n, rels in walks(edges, most) if n[0] != n[-1]]
+        cost = {}
+        for n, _, c in every:
+            cost[n[0], n[-1]] = min(c, cost.get((n[0], n[-1]), 10**9))
+        got = s.query(f"MATCH p = (a:N)-[e:R* WSHORTEST(w) 1..{most}]->(b:N) RETURN a.k AS a, b.k AS b, cost(e) AS c, properties(rels(p), 'w') AS ws, properties(nodes(p), 'k') AS ks").collect()
+        assert {(x.a, x.b): x.c for x in got} == cost
+        assert all(sum(x.ws) == x.c and (x.ks[0], x.ks[-1]) == (x.a, x.b) and all((u, v, w) in edges for u, v, w in zip(x.ks, x.ks[1:], x.ws)) for x in got)
+        assert count(s, f"ALL WSHORTEST(w) 1..{most}") == tally((n[0], n[-1]) for n, _, c in every if c == cost[n[0], n[-1]])
+
+
+def test_relationships_keep_their_identity_over_shuffles(spark):
+    from weftgraph.catalog import GraphCatalog
+
+    g = GraphCatalog(spark)
+    g.add_nodes("N", spark.range(50).withColumnRenamed("id", "k"), "k")
+    pairs = spark.range(2000).selectExpr("id % 50 AS a", "(id * 7) % 50 AS b", "id AS w").repartition(16).dropDuplicates(["w"])
+    g.add_rels("R", pairs, ("N", "a"), ("N", "b"), ["w"])
+    s = Session(spark, g)
+    once, twice = ({r.w: r.i for r in s.query("MATCH (a:N)-[e:R]->(b:N) RETURN e.w AS w, id(e) AS i").collect()} for _ in range(2))
+    assert once == twice and len(set(map(str, once.values()))) == 2000
+    assert s.query("MATCH (a:N)-[e:R]->(b:N), (a)-[f:R]->(b) WHERE e <> f AND e.w = f.w RETURN count(*) AS n").first().n == 0

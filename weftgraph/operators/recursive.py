@@ -122,7 +122,7 @@ def _shaped(df: DataFrame, paths: bool) -> DataFrame:
 
 def _shortest(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame | None) -> DataFrame:
     """Breadth first: a node is new to a source at one level only. A source never reaches itself."""
-    e = edges.select("f", F.col("t").alias("to"), *(["rel", "mid"] if spec.paths else []))
+    e = edges.select("f", F.col("t").alias("to"), F.col("r").alias("rid"), *(["rel", "mid"] if spec.paths else []))
     frontier = sources.select("s", F.col("s").alias("t"), F.lit(0).cast("long").alias("n"))
     if spec.paths:
         frontier = _with_paths(frontier, e)
@@ -130,11 +130,12 @@ def _shortest(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame
     levels = []
     for hop in range(1, spec.high + 1):
         go = _open(frontier, inner, hop - 1)
-        on = _step(go.join(e, go["t"] == e["f"]), spec.paths, [])
+        on = _step(go.join(e, go["t"] == e["f"]), spec.paths, ["f", "rid"] if spec.paths and spec.mode == "SHORTEST" else [])
         new = on.join(visited, ["s", "t"], "left_anti")
         if spec.mode == "SHORTEST":
             if spec.paths:
-                new = new.groupBy("s", "t").agg(F.min("n").alias("n"), F.first("rels").alias("rels"), F.first("mids").alias("mids"))
+                path = F.min_by(F.struct("rels", "mids"), F.struct("f", "rid"))
+                new = new.groupBy("s", "t").agg(F.min("n").alias("n"), path.alias("path")).select("s", "t", "n", "path.rels", "path.mids")
             else:
                 new = new.select("s", "t", "n").distinct()
         frontier, over = _is_over(new, hop, spec.high)
@@ -146,42 +147,41 @@ def _shortest(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame
 
 
 def _weighted(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame | None) -> DataFrame:
-    """Least cost by rounds of relaxation; a round only goes on from what the last one improved."""
-    e = materialise(edges.select("f", F.col("t").alias("to"), F.col("w").cast("double").alias("w"), *(["rel", "mid"] if spec.paths else [])))
-    best = sources.select("s", F.col("s").alias("t"), F.lit(0.0).alias("cost"))
-    changed = best
-    for hop in range(1, spec.high + 1):
-        go = _open(changed, inner, hop - 1) if hop > 1 else changed
-        reached = go.join(e, go["t"] == e["f"]).groupBy("s", F.col("to").alias("t")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        better = reached.join(best, ["s", "t"], "left").where("cost IS NULL OR new < cost").select("s", "t", F.col("new").alias("cost"))
-        changed = materialise(better)
-        if changed.isEmpty():
-            break
-        best = materialise(best.join(changed, ["s", "t"], "left_anti").unionByName(changed))
-    # the paths lie along the edges that some best cost uses: walk them from the sources
-    step = e.select("f", "to", "w", *(["rel", "mid"] if spec.paths else []))
+    """Least cost over the paths within the hops, by rounds of relaxation that carry the paths along.
+
+    After k rounds `best` holds the least cost of each pair within k hops. A path goes on only while it is as cheap as
+    any with as few hops; a dearer path with fewer hops has gone on in its own round, so a bound on hops loses nothing.
+    """
+    one = spec.mode == "WSHORTEST"
+    e = materialise(edges.select("f", F.col("t").alias("to"), F.col("r").alias("rid"), F.col("w").cast("double").alias("w"), *(["rel", "mid"] if spec.paths else [])))
     frontier = sources.select("s", F.col("s").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("cost"))
     if spec.paths:
         frontier = _with_paths(frontier, e)
-    target = best.select(F.col("s").alias("bs"), F.col("t").alias("bt"), F.col("cost").alias("bc"))
-    one = spec.mode == "WSHORTEST"
+    pathed = ["rels", "mids"] if spec.paths else []
+    best = frontier.select("s", "t", F.col("cost").alias("least"))
     levels = []
-    done = frontier.select("s", "t")
     for hop in range(1, spec.high + 1):
         go = _open(frontier, inner, hop - 1)
-        on = go.join(step, go["t"] == step["f"]).withColumn("cost", F.col("cost") + F.col("w"))
+        on = go.join(e, go["t"] == e["f"])
         kept = [F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("mids", F.col("mid")).alias("mids")] if spec.paths else []
-        on = on.select("s", F.col("to").alias("t"), (F.col("n") + 1).alias("n"), "cost", *kept)
-        tight = on.join(target, (F.col("s") == F.col("bs")) & (F.col("t") == F.col("bt")) & (F.abs(F.col("cost") - F.col("bc")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("bc")))).drop("bs", "bt", "bc")
-        tight = tight.where("s <> t")
+        on = on.select("s", F.col("to").alias("t"), (F.col("n") + 1).alias("n"), (F.col("cost") + F.col("w")).alias("cost"), "rid", *kept)
         if one:
-            tight = tight.join(done, ["s", "t"], "left_anti")
-            more = [F.first(c).alias(c) for c in (("rels", "mids") if spec.paths else ())]
-            tight = tight.groupBy("s", "t").agg(F.min("n").alias("n"), F.min("cost").alias("cost"), *more)
-        frontier = materialise(tight)
+            path = [F.min_by(F.struct(*pathed), F.struct("cost", "rid")).alias("path")] if pathed else []
+            on = on.groupBy("s", "t").agg(F.min("n").alias("n"), F.min("cost").alias("cost"), *path).join(best, ["s", "t"], "left")
+            new = on.where("least IS NULL OR cost < least").select("s", "t", "n", "cost", *[F.col(f"path.{c}").alias(c) for c in pathed])
+        else:
+            least = on.groupBy("s", "t").agg(F.min("cost").alias("now")).join(best, ["s", "t"], "left").select("s", "t", F.least("now", "least").alias("least"))
+            new = on.join(least, ["s", "t"]).where(_as_cheap()).select("s", "t", "n", "cost", *pathed)
+        frontier = materialise(new)
         if frontier.isEmpty():
             break
-        if one:
-            done = done.unionByName(frontier.select("s", "t"))
         levels.append(frontier)
-    return _shaped(_all(levels, frontier), spec.paths)
+        both = best.unionByName(frontier.select("s", "t", F.col("cost").alias("least")))
+        best = materialise(both.groupBy("s", "t").agg(F.min("least").alias("least")))
+    found = _all(levels, frontier).where("s <> t").join(best, ["s", "t"])
+    return _shaped(found.where("cost = least" if one else _as_cheap()), spec.paths)
+
+
+def _as_cheap():
+    """Sums of the same weights in another order count as equal."""
+    return F.col("cost") <= F.col("least") + 1e-9 * F.greatest(F.lit(1.0), F.abs("least"))
