@@ -17,12 +17,21 @@ def _double(c):
     return c.cast("double")
 
 
+def _whole(f, c):
+    """floor or ceil of a double as a double; from 2^52 on (and for NaN) the value itself, which has no fraction."""
+    return F.when(F.abs(c) < float(1 << 52), f(c).cast("double")).otherwise(c)
+
+
+def _is_float(*values: Value) -> bool:
+    return any(isinstance(v.t, T.DoubleType | T.FloatType) for v in values) and all(is_numeric(v.t) for v in values)
+
+
 for _name, _f in {"ACOS": F.acos, "ASIN": F.asin, "ATAN": F.atan, "COS": F.cos, "COT": F.cot, "DEGREES": F.degrees, "LN": F.ln, "LOG LOG10": F.log10, "LOG2": F.log2, "RADIANS": F.radians, "SIN": F.sin, "SQRT": F.sqrt, "TAN": F.tan, "CBRT": F.cbrt}.items():
     simple(_name, lambda c, f=_f: f(_double(c)), "(DOUBLE) -> DOUBLE")
 simple("ATAN2", lambda y, x: F.atan2(_double(y), _double(x)), "(DOUBLE,DOUBLE) -> DOUBLE", 2)
 simple("PI", lambda: F.pi(), "() -> DOUBLE", 0)
 simple("ABS", F.abs, "(N) -> N")
-simple("EVEN", lambda c: F.when(c >= 0, F.ceil(_double(c) / 2) * 2).otherwise(F.floor(_double(c) / 2) * 2).cast("double"), "(DOUBLE) -> DOUBLE")
+simple("EVEN", lambda c: F.when(c >= 0, _whole(F.ceil, _double(c) / 2) * 2).otherwise(_whole(F.floor, _double(c) / 2) * 2), "(DOUBLE) -> DOUBLE")
 simple("SIGN", lambda c: F.signum(_double(c)).cast("long"), "(N) -> INT64")
 simple("FACTORIAL", lambda c: F.factorial(c.cast("int")), "(INT64) -> INT64")
 simple("BITWISE_XOR", lambda a, b: a.cast("long").bitwiseXOR(b.cast("long")), "(INT64,INT64) -> INT64", 2)
@@ -35,20 +44,22 @@ simple("POW POWER", lambda a, b: F.pow(_double(a), _double(b)), "(DOUBLE,DOUBLE)
 
 @function("CEIL CEILING", "(N) -> N")
 def ceil(x: Value):
-    return F.ceil(x.c).cast(x.t if is_numeric(x.t) else "double")
+    return _whole(F.ceil, x.c).cast(x.t) if _is_float(x) else F.ceil(x.c).cast(x.t if is_numeric(x.t) else "double")
 
 
 @function("FLOOR", "(N) -> N")
 def floor(x: Value):
-    return F.floor(x.c).cast(x.t if is_numeric(x.t) else "double")
+    return _whole(F.floor, x.c).cast(x.t) if _is_float(x) else F.floor(x.c).cast(x.t if is_numeric(x.t) else "double")
 
 
 @function("ROUND", "(DOUBLE,INT64) -> DOUBLE", 1, 2)
 def round_(x: Value, n: Value | None = None):
     digits = n.c if n else F.lit(0)
     scale = F.pow(F.lit(10.0), _double(digits))
-    shifted = _double(x.c) * scale
-    return F.signum(shifted) * F.floor(F.abs(shifted) + 0.5) / scale
+    value = _double(x.c)
+    shifted = F.abs(value) * scale
+    # nothing to round where the shifted value has no fraction, is not a number or out of range
+    return F.when(shifted < float(1 << 52), F.signum(value) * F.floor(shifted + 0.5) / scale).otherwise(value)
 
 
 # no built-in exists for these two: vectorised by Arrow
@@ -112,7 +123,13 @@ def minus(a: Value, b: Value):
 
 
 simple("*", lambda a, b: a * b, "(N,N) -> N", 2)
-simple("%", lambda a, b: a % b, "(N,N) -> N", 2)
+
+
+@function("%", "(N,N) -> N; floats give NaN for zero", 2)
+def modulo(a: Value, b: Value):
+    if _is_float(a, b):
+        return F.when(a.c.isNotNull() & (_double(b.c) == 0), F.lit(float("nan"))).otherwise(_double(a.c) % F.nullif(_double(b.c), F.lit(0.0)))
+    return a.c % b.c
 
 
 @function("/", "(N,N) -> N; whole numbers truncate", 2)
@@ -124,6 +141,10 @@ def divide(a: Value, b: Value):
             return F.call_function("div", a.c, b.c)
         wide = "int" if all(isinstance(x.t, T.ByteType | T.ShortType | T.IntegerType) for x in (a, b)) else "long"
         return F.call_function("div", a.c, b.c).cast(wide)
+    if _is_float(a, b):
+        x, y = _double(a.c), _double(b.c)
+        by_zero = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+        return F.when(x.isNotNull() & (y == 0), F.when(F.isnan(x), x).otherwise(by_zero)).otherwise(x / F.nullif(y, F.lit(0.0)))
     return a.c / b.c
 
 
