@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from typing import Any
 
@@ -17,6 +18,7 @@ from .plans import syntax as S
 from .plans.compile import Compiler
 from .plans.lexer import QueryError
 from .plans.parser import parse
+from .storage import materialise
 
 SETTINGS: dict[str, Any] = {
     "threads": 0, "timeout": 0, "progress_bar": False, "var_length_extend_max_depth": 30, "sparse_frontier_threshold": 1000, "enable_semi_mask": True, "disable_map_key_check": True,
@@ -25,6 +27,13 @@ SETTINGS: dict[str, Any] = {
 }
 
 
+def _numbered_alike(df: DataFrame) -> bool:
+    """Whether rows are numbered alike each time: the frame is a scan with projections and filters at most."""
+    lines = df._jdf.queryExecution().analyzed().treeString().splitlines()
+    names = {m.group(1) for line in lines if (m := re.match(r"[\s:+\-|]*(\w+)", line))}
+    return names <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias", "View", "Union"}
+
+
 class Session:
     """One connection: a catalog, settings, and the transaction that may be open."""
 
@@ -55,8 +64,15 @@ class Session:
         return self.catalog.nodes[label].df
 
     def rel_rows(self, table: str, pair: tuple[str, str]) -> DataFrame:
-        df = self.catalog.rels[table].frames[pair]
-        return df if "_rid" in df.columns else df.withColumn("_rid", F.monotonically_increasing_id())
+        frames = self.catalog.rels[table].frames
+        df = frames[pair]
+        if "_rid" in df.columns:
+            return df
+        numbered = df.withColumn("_rid", F.monotonically_increasing_id())
+        if _numbered_alike(df):
+            return numbered
+        frames[pair] = materialise(numbered)  # rows may come in another order next time: their identities are kept
+        return frames[pair]
 
     # --- entry points
     def query(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
