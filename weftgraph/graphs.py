@@ -49,7 +49,8 @@ def commerce(spark: SparkSession, sf_dir: str) -> GraphCatalog:
     g.add_rels("PLACED", read["orders"], ("Customer", "o_custkey"), ("Orders", "o_orderkey"), multiplicity="ONE_MANY")
     g.add_rels("CONTAINS", read["lineitem"], ("Orders", "l_orderkey"), ("Part", "l_partkey"), LINE)
     g.add_rels("SHIPPED_BY", read["lineitem"], ("Orders", "l_orderkey"), ("Supplier", "l_suppkey"), {k: v for k, v in LINE.items() if k != "suppkey"})
-    g.add_rels("SUPPLIES", read["lineitem"].select("l_suppkey", "l_partkey").distinct(), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
+    supplies = read["lineitem"].select("l_suppkey", "l_partkey").distinct().withColumn("rid", F.shiftleft("l_suppkey", 32).bitwiseOR(F.col("l_partkey")))
+    g.add_rels("SUPPLIES", supplies, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), [], rid="rid")
     return g
 
 
@@ -66,9 +67,8 @@ def trade(spark: SparkSession, sf_dir: str) -> GraphCatalog:
         .join(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
     )
-    # a sparse part of it, by weight alone, so that paths have some length
-    sparse = flows.where("(c_nationkey * 7 + s_nationkey * 3) % 11 < 2").withColumn("rid", F.col("c_nationkey").cast("long") * 1000 + F.col("s_nationkey"))
-    g.add_rels("TRADES", sparse, ("Nation", "c_nationkey"), ("Nation", "s_nationkey"), ["n", "quantity"], rid="rid")
+    flows = flows.withColumn("rid", F.col("c_nationkey").cast("long") * 1000 + F.col("s_nationkey"))
+    g.add_rels("TRADES", flows, ("Nation", "c_nationkey"), ("Nation", "s_nationkey"), ["n", "quantity"], rid="rid")
     return g
 
 

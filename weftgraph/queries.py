@@ -17,13 +17,28 @@ flows AS (
   SELECT c_nationkey, s_nationkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   GROUP BY 1, 2),
-t AS (SELECT c_nationkey AS f, s_nationkey AS d, n, quantity, c_nationkey * 1000 + s_nationkey AS rid FROM flows WHERE (c_nationkey * 7 + s_nationkey * 3) % 11 < 2)"""
+t AS (SELECT c_nationkey AS f, s_nationkey AS d, n, quantity, c_nationkey * 1000 + s_nationkey AS rid FROM flows)"""
 
 _TURNS = """
 turn AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role FROM conversations),
 nxt AS (SELECT id AS f, lead(id) OVER (PARTITION BY conv_id ORDER BY turn) AS d FROM turn),
 e AS (SELECT f, d FROM nxt WHERE d IS NOT NULL)"""
 
+
+
+def _rounds(most: int) -> str:
+    """Least costs within 0, 1, ... hops."""
+    first = "b0 AS (SELECT n_nationkey AS f, n_nationkey AS d, CAST(0 AS DOUBLE) AS c FROM nation)"
+    return ", ".join([first, *(f"b{k} AS (SELECT f, d, min(c) AS c FROM (SELECT * FROM b{k - 1} UNION ALL SELECT b.f, t.d, b.c + t.n FROM b{k - 1} b JOIN t ON t.f = b.d) GROUP BY 1, 2)" for k in range(1, most + 1))])
+
+
+def _levels(most: int) -> str:
+    """Pairs by their least number of hops, with the number of ways."""
+    first = "l0 AS (SELECT n_nationkey AS f, n_nationkey AS d, 0 AS n, 1 AS c FROM nation)"
+    step = "SELECT l.f, t.d, {k} AS n, CAST(sum(l.c) AS BIGINT) AS c FROM l{j} l JOIN t ON t.f = l.d WHERE l.n = {j} AND NOT EXISTS (SELECT 1 FROM l{j} o WHERE o.f = l.f AND o.d = t.d) GROUP BY 1, 2"
+    return ", ".join([first, *(f"l{k} AS (SELECT * FROM l{k - 1} UNION ALL {step.format(k=k, j=k - 1)})" for k in range(1, most + 1))])
+
+
 #: name -> (graph, query, SQL)
 TEXTS: dict[str, tuple[Callable, str, str]] = {
     "match_1hop_agg": (
@@ -201,13 +216,13 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     ),
     "fn_string": (
         graphs.commerce,
-        "MATCH (c:Customer) WHERE c.c_custkey < 300 WITH c.c_custkey AS k, c.c_name AS s, c.c_mktsegment AS g RETURN k, lower(s) AS lo, upper(g) AS up, left(s, 3) AS l, left(s, -3) AS ln, right(s, 4) AS r, right(s, -4) AS rn, substr(s, 2, 5) AS su, lpad(g, 12, '*') AS lp, rpad(g, 12, '.') AS rp, reverse(g) AS re, repeat('ab', 2) AS rr, trim('  x ') AS t, initcap(g) AS ic, concat(g, '-', s) AS cc, g + '/' + s AS pl, string_split(s, '#')[1] AS sp, split_part(s, '#', 2) AS s2, split_part(s, '#', 9) AS s9, levenshtein(g, 'BUILDING') AS le, size(s) AS z, contains(s, '1') AS co, starts_with(s, 'C') AS st, s[2] AS ch, s[2:4] AS sl, concat_ws('+', g, 'z') AS cw",
-        "WITH t AS (SELECT c_custkey AS k, c_name AS s, c_mktsegment AS g FROM customer WHERE c_custkey < 300) SELECT k, lower(s) AS lo, upper(g) AS up, left(s, 3) AS l, left(s, -3) AS ln, right(s, 4) AS r, right(s, -4) AS rn, substr(s, 2, 5) AS su, lpad(g, 12, '*') AS lp, rpad(g, 12, '.') AS rp, reverse(g) AS re, 'abab' AS rr, 'x' AS t, upper(g[1]) || lower(g[2:]) AS ic, g || '-' || s AS cc, g || '/' || s AS pl, string_split(s, '#')[1] AS sp, split_part(s, '#', 2) AS s2, '' AS s9, levenshtein(g, 'BUILDING') AS le, length(s) AS z, contains(s, '1') AS co, starts_with(s, 'C') AS st, s[2] AS ch, s[2:4] AS sl, concat_ws('+', g, 'z') AS cw FROM t",
+        "MATCH (c:Customer) WITH c.c_custkey AS k, c.c_name AS s, c.c_mktsegment AS g RETURN k, lower(s) AS lo, upper(g) AS up, left(s, 3) AS l, left(s, -3) AS ln, right(s, 4) AS r, right(s, -4) AS rn, substr(s, 2, 5) AS su, lpad(g, 12, '*') AS lp, rpad(g, 12, '.') AS rp, reverse(g) AS re, repeat('ab', 2) AS rr, trim('  x ') AS t, initcap(g) AS ic, concat(g, '-', s) AS cc, g + '/' + s AS pl, string_split(s, '#')[1] AS sp, split_part(s, '#', 2) AS s2, split_part(s, '#', 9) AS s9, levenshtein(g, 'BUILDING') AS le, size(s) AS z, contains(s, '1') AS co, starts_with(s, 'C') AS st, s[2] AS ch, s[2:4] AS sl, concat_ws('+', g, 'z') AS cw",
+        "WITH t AS (SELECT c_custkey AS k, c_name AS s, c_mktsegment AS g FROM customer) SELECT k, lower(s) AS lo, upper(g) AS up, left(s, 3) AS l, left(s, -3) AS ln, right(s, 4) AS r, right(s, -4) AS rn, substr(s, 2, 5) AS su, lpad(g, 12, '*') AS lp, rpad(g, 12, '.') AS rp, reverse(g) AS re, 'abab' AS rr, 'x' AS t, upper(g[1]) || lower(g[2:]) AS ic, g || '-' || s AS cc, g || '/' || s AS pl, string_split(s, '#')[1] AS sp, split_part(s, '#', 2) AS s2, '' AS s9, levenshtein(g, 'BUILDING') AS le, length(s) AS z, contains(s, '1') AS co, starts_with(s, 'C') AS st, s[2] AS ch, s[2:4] AS sl, concat_ws('+', g, 'z') AS cw FROM t",
     ),
     "fn_regex": (
         graphs.commerce,
-        "MATCH (p:Part) WHERE p.p_partkey < 200 WITH p.p_partkey AS k, p.p_type AS s RETURN k, regexp_matches(s, '[AEIOU]{2}') AS m, regexp_full_match(s, '[A-Z ]+') AS f, regexp_replace(s, '[AEIOU]', '_') AS r1, regexp_replace(s, '[AEIOU]', '_', 'g') AS rg, regexp_extract(s, '([A-Z])([A-Z])', 2) AS e, regexp_extract(s, '[0-9]+') AS e0, list_to_string(',', regexp_extract_all(s, '[AEIOU]')) AS ea, list_to_string('|', regexp_split_to_array(s, ' ')) AS sp",
-        "WITH t AS (SELECT p_partkey AS k, p_type AS s FROM part WHERE p_partkey < 200) SELECT k, regexp_matches(s, '[AEIOU]{2}') AS m, regexp_full_match(s, '[A-Z ]+') AS f, regexp_replace(s, '[AEIOU]', '_') AS r1, regexp_replace(s, '[AEIOU]', '_', 'g') AS rg, regexp_extract(s, '([A-Z])([A-Z])', 2) AS e, regexp_extract(s, '[0-9]+') AS e0, array_to_string(regexp_extract_all(s, '[AEIOU]'), ',') AS ea, array_to_string(regexp_split_to_array(s, ' '), '|') AS sp FROM t",
+        "MATCH (p:Part) WITH p.p_partkey AS k, p.p_type AS s RETURN k, regexp_matches(s, '[AEIOU]{2}') AS m, regexp_full_match(s, '[A-Z ]+') AS f, regexp_replace(s, '[AEIOU]', '_') AS r1, regexp_replace(s, '[AEIOU]', '_', 'g') AS rg, regexp_extract(s, '([A-Z])([A-Z])', 2) AS e, regexp_extract(s, '[0-9]+') AS e0, list_to_string(',', regexp_extract_all(s, '[AEIOU]')) AS ea, list_to_string('|', regexp_split_to_array(s, ' ')) AS sp",
+        "WITH t AS (SELECT p_partkey AS k, p_type AS s FROM part) SELECT k, regexp_matches(s, '[AEIOU]{2}') AS m, regexp_full_match(s, '[A-Z ]+') AS f, regexp_replace(s, '[AEIOU]', '_') AS r1, regexp_replace(s, '[AEIOU]', '_', 'g') AS rg, regexp_extract(s, '([A-Z])([A-Z])', 2) AS e, regexp_extract(s, '[0-9]+') AS e0, array_to_string(regexp_extract_all(s, '[AEIOU]'), ',') AS ea, array_to_string(regexp_split_to_array(s, ' '), '|') AS sp FROM t",
     ),
     "fn_list": (
         graphs.commerce,
@@ -216,13 +231,13 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     ),
     "fn_date": (
         graphs.commerce,
-        "MATCH (o:Orders) WHERE o.o_orderkey < 400 WITH o.o_orderkey AS k, CAST(o.o_orderdate AS DATE) AS d, o.o_orderdate AS t RETURN k, date_part('year', d) AS y, date_part('month', d) AS m, date_part('day', d) AS dd, date_part('quarter', d) AS q, date_part('week', d) AS w, date_part('dow', d) AS dow, date_part('doy', d) AS doy, date_part('decade', d) AS de, date_part('century', d) AS ce, date_part('hour', t) AS h, date_trunc('month', d) AS tm, date_trunc('year', d) AS ty, CAST(date_trunc('decade', d) AS DATE) AS td, dayname(d) AS dn, monthname(d) AS mn, last_day(d) AS ld, d + 10 AS pl, d - 3 AS mi, d - date('1995-01-01') AS df, greatest(d, date('1995-06-01')) AS g, least(d, date('1995-06-01')) AS l, make_date(2020, date_part('month', d), 1) AS md",
-        "WITH x AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderdate AS t FROM orders WHERE o_orderkey < 400) SELECT k, year(d) AS y, month(d) AS m, day(d) AS dd, quarter(d) AS q, week(d) AS w, dayofweek(d) AS dow, dayofyear(d) AS doy, date_part('decade', d) AS de, date_part('century', d) AS ce, hour(t) AS h, CAST(date_trunc('month', d) AS DATE) AS tm, CAST(date_trunc('year', d) AS DATE) AS ty, CAST(date_trunc('decade', d) AS DATE) AS td, dayname(d) AS dn, monthname(d) AS mn, last_day(d) AS ld, CAST(d + 10 AS DATE) AS pl, CAST(d - 3 AS DATE) AS mi, d - DATE '1995-01-01' AS df, greatest(d, DATE '1995-06-01') AS g, least(d, DATE '1995-06-01') AS l, make_date(2020, month(d), 1) AS md FROM x",
+        "MATCH (o:Orders) WITH o.o_orderkey AS k, CAST(o.o_orderdate AS DATE) AS d, o.o_orderdate AS t RETURN k, date_part('year', d) AS y, date_part('month', d) AS m, date_part('day', d) AS dd, date_part('quarter', d) AS q, date_part('week', d) AS w, date_part('dow', d) AS dow, date_part('doy', d) AS doy, date_part('decade', d) AS de, date_part('century', d) AS ce, date_part('hour', t) AS h, date_trunc('month', d) AS tm, date_trunc('year', d) AS ty, CAST(date_trunc('decade', d) AS DATE) AS td, dayname(d) AS dn, monthname(d) AS mn, last_day(d) AS ld, d + 10 AS pl, d - 3 AS mi, d - date('1995-01-01') AS df, greatest(d, date('1995-06-01')) AS g, least(d, date('1995-06-01')) AS l, make_date(2020, date_part('month', d), 1) AS md",
+        "WITH x AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderdate AS t FROM orders) SELECT k, year(d) AS y, month(d) AS m, day(d) AS dd, quarter(d) AS q, week(d) AS w, dayofweek(d) AS dow, dayofyear(d) AS doy, date_part('decade', d) AS de, date_part('century', d) AS ce, hour(t) AS h, CAST(date_trunc('month', d) AS DATE) AS tm, CAST(date_trunc('year', d) AS DATE) AS ty, CAST(date_trunc('decade', d) AS DATE) AS td, dayname(d) AS dn, monthname(d) AS mn, last_day(d) AS ld, CAST(d + 10 AS DATE) AS pl, CAST(d - 3 AS DATE) AS mi, d - DATE '1995-01-01' AS df, greatest(d, DATE '1995-06-01') AS g, least(d, DATE '1995-06-01') AS l, make_date(2020, month(d), 1) AS md FROM x",
     ),
     "fn_interval": (
         graphs.commerce,
-        "MATCH (o:Orders) WHERE o.o_orderkey < 400 WITH o.o_orderkey AS k, CAST(o.o_orderdate AS DATE) AS d, o.o_orderdate AS t RETURN k, d + interval('1 month') AS a, d - interval('2 years 3 days') AS b, t + to_hours(5) AS c, t - to_minutes(90) AS e, d + to_months(k % 12) AS f, date_part('day', t - timestamp('1992-01-01 00:00:00')) AS g, interval('1 month') > interval('29 days') AS h, to_days(40) > interval('1 month') AS i, t + interval('1 day 02:30:00') AS j",
-        "WITH x AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderdate AS t FROM orders WHERE o_orderkey < 400) SELECT k, CAST(d + INTERVAL 1 MONTH AS DATE) AS a, CAST(d - INTERVAL 2 YEAR - INTERVAL 3 DAY AS DATE) AS b, t + INTERVAL 5 HOUR AS c, t - INTERVAL 90 MINUTE AS e, CAST(d + to_months(CAST(k % 12 AS INTEGER)) AS DATE) AS f, date_part('day', t - TIMESTAMP '1992-01-01 00:00:00') AS g, true AS h, true AS i, t + INTERVAL 1 DAY + INTERVAL 150 MINUTE AS j FROM x",
+        "MATCH (o:Orders) WITH o.o_orderkey AS k, CAST(o.o_orderdate AS DATE) AS d, o.o_orderdate AS t RETURN k, d + interval('1 month') AS a, d - interval('2 years 3 days') AS b, t + to_hours(5) AS c, t - to_minutes(90) AS e, d + to_months(k % 12) AS f, date_part('day', t - timestamp('1992-01-01 00:00:00')) AS g, interval('1 month') > interval('29 days') AS h, to_days(40) > interval('1 month') AS i, t + interval('1 day 02:30:00') AS j",
+        "WITH x AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderdate AS t FROM orders) SELECT k, CAST(d + INTERVAL 1 MONTH AS DATE) AS a, CAST(d - INTERVAL 2 YEAR - INTERVAL 3 DAY AS DATE) AS b, t + INTERVAL 5 HOUR AS c, t - INTERVAL 90 MINUTE AS e, CAST(d + to_months(CAST(k % 12 AS INTEGER)) AS DATE) AS f, date_part('day', t - TIMESTAMP '1992-01-01 00:00:00') AS g, true AS h, true AS i, t + INTERVAL 1 DAY + INTERVAL 150 MINUTE AS j FROM x",
     ),
     "fn_struct_map": (
         graphs.commerce,
@@ -231,13 +246,13 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     ),
     "fn_cast": (
         graphs.commerce,
-        "MATCH (c:Customer) WHERE c.c_custkey < 500 WITH c.c_custkey AS k, c.c_acctbal AS x RETURN k, CAST(x AS INT64) AS i, CAST(k AS DOUBLE) AS d, CAST(k AS STRING) AS s, CAST(CAST(x AS DECIMAL(12, 1)) AS DOUBLE) AS de, to_bool('true') AS b, to_string(k > 3) AS ts, CAST('2020-02-03' AS DATE) AS dt, to_int32(x / 100) AS i32, to_float(1.5) AS f, to_string([k, 1]) AS l",
-        "SELECT c_custkey AS k, CAST(round_even(c_acctbal, 0) AS BIGINT) AS i, CAST(c_custkey AS DOUBLE) AS d, CAST(c_custkey AS VARCHAR) AS s, CAST(CAST(c_acctbal AS DECIMAL(12, 1)) AS DOUBLE) AS de, true AS b, CASE WHEN c_custkey > 3 THEN 'True' ELSE 'False' END AS ts, DATE '2020-02-03' AS dt, CAST(round_even(c_acctbal / 100, 0) AS INTEGER) AS i32, CAST(1.5 AS FLOAT) AS f, '[' || c_custkey || ',1]' AS l FROM customer WHERE c_custkey < 500",
+        "MATCH (c:Customer) WITH c.c_custkey AS k, c.c_acctbal AS x RETURN k, CAST(x AS INT64) AS i, CAST(k AS DOUBLE) AS d, CAST(k AS STRING) AS s, CAST(CAST(x AS DECIMAL(12, 1)) AS DOUBLE) AS de, to_bool('true') AS b, to_string(k > 3) AS ts, CAST('2020-02-03' AS DATE) AS dt, to_int32(x / 100) AS i32, to_float(1.5) AS f, to_string([k, 1]) AS l",
+        "SELECT c_custkey AS k, CAST(round_even(c_acctbal, 0) AS BIGINT) AS i, CAST(c_custkey AS DOUBLE) AS d, CAST(c_custkey AS VARCHAR) AS s, CAST(CAST(c_acctbal AS DECIMAL(12, 1)) AS DOUBLE) AS de, true AS b, CASE WHEN c_custkey > 3 THEN 'True' ELSE 'False' END AS ts, DATE '2020-02-03' AS dt, CAST(round_even(c_acctbal / 100, 0) AS INTEGER) AS i32, CAST(1.5 AS FLOAT) AS f, '[' || c_custkey || ',1]' AS l FROM customer",
     ),
     "fn_hash": (
         graphs.commerce,
-        "MATCH (c:Customer) WHERE c.c_custkey < 500 RETURN c.c_custkey AS k, md5(c.c_name) AS m, sha256(c.c_name) AS s, octet_length(encode(c.c_name)) AS o, decode(encode(c.c_name)) AS d",
-        "SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s, strlen(c_name) AS o, c_name AS d FROM customer WHERE c_custkey < 500",
+        "MATCH (c:Customer) RETURN c.c_custkey AS k, md5(c.c_name) AS m, sha256(c.c_name) AS s, octet_length(encode(c.c_name)) AS o, decode(encode(c.c_name)) AS d",
+        "SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s, strlen(c_name) AS o, c_name AS d FROM customer",
     ),
     "fn_array_vec": (
         graphs.activity,
@@ -266,13 +281,13 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     ),
     "rec_trail": (
         graphs.trade,
-        "MATCH (a:Nation)-[e:TRADES*TRAIL 1..4]->(b:Nation) RETURN a.n_nationkey AS a, length(e) AS n, count(*) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, [rid] AS seen, 1 AS n FROM t UNION ALL SELECT w.f, t.d, list_append(w.seen, t.rid), w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 4 AND NOT list_contains(w.seen, t.rid)) SELECT f AS a, n, count(*) AS c FROM w GROUP BY 1, 2",
+        "MATCH (a:Nation)-[e:TRADES*TRAIL 1..3]->(b:Nation) RETURN a.n_nationkey AS a, length(e) AS n, count(*) AS c",
+        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, [rid] AS seen, 1 AS n FROM t UNION ALL SELECT w.f, t.d, list_append(w.seen, t.rid), w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 3 AND NOT list_contains(w.seen, t.rid)) SELECT f AS a, n, count(*) AS c FROM w GROUP BY 1, 2",
     ),
     "rec_acyclic": (
         graphs.trade,
-        "MATCH (a:Nation)-[e:TRADES*ACYCLIC 1..4]->(b:Nation) RETURN a.n_nationkey AS a, length(e) AS n, count(*) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, [f, d] AS seen, 1 AS n FROM t WHERE f <> d UNION ALL SELECT w.f, t.d, list_append(w.seen, t.d), w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 4 AND NOT list_contains(w.seen, t.d)) SELECT f AS a, n, count(*) AS c FROM w GROUP BY 1, 2",
+        "MATCH (a:Nation)-[e:TRADES*ACYCLIC 1..3]->(b:Nation) RETURN a.n_nationkey AS a, length(e) AS n, count(*) AS c",
+        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, [f, d] AS seen, 1 AS n FROM t WHERE f <> d UNION ALL SELECT w.f, t.d, list_append(w.seen, t.d), w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 3 AND NOT list_contains(w.seen, t.d)) SELECT f AS a, n, count(*) AS c FROM w GROUP BY 1, 2",
     ),
     "rec_predicates": (
         graphs.trade,
@@ -287,19 +302,29 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
     "rec_all_shortest": (
         graphs.trade,
         "MATCH (a:Nation)-[e:TRADES* ALL SHORTEST 1..8]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(e) AS n, count(*) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, 1 AS n FROM t UNION ALL SELECT w.f, t.d, w.n + 1 FROM w JOIN t ON t.f = w.d WHERE w.n < 8), m AS (SELECT f, d, min(n) AS n FROM w WHERE f <> d GROUP BY 1, 2) SELECT w.f AS a, w.d AS b, w.n, count(*) AS c FROM w JOIN m ON w.f = m.f AND w.d = m.d AND w.n = m.n GROUP BY 1, 2, 3",
+        f"WITH {_TRADES}, {_levels(8)} SELECT f AS a, d AS b, n, c FROM l8 WHERE f <> d AND n > 0",
     ),
     "rec_wshortest": (
         graphs.trade,
         "MATCH (a:Nation)-[e:TRADES* WSHORTEST(n) 1..8]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c",
-        f"WITH RECURSIVE {_TRADES}, w AS (SELECT f, d, CAST(n AS DOUBLE) AS c, [f, d] AS seen FROM t WHERE f <> d UNION ALL SELECT w.f, t.d, w.c + t.n, list_append(seen, t.d) FROM w JOIN t ON t.f = w.d WHERE len(seen) < 9 AND NOT list_contains(seen, t.d)) SELECT f AS a, d AS b, min(c) AS c FROM w GROUP BY 1, 2",
+        f"WITH {_TRADES}, {_rounds(8)} SELECT f AS a, d AS b, c FROM b8 WHERE f <> d",
+    ),
+    "rec_wshortest_bounded": (
+        graphs.trade,
+        "MATCH (a:Nation)-[e:TRADES* WSHORTEST(n) 1..2]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c",
+        f"WITH {_TRADES}, {_rounds(2)} SELECT f AS a, d AS b, c FROM b2 WHERE f <> d",
+    ),
+    "rec_all_wshortest_bounded": (
+        graphs.trade,
+        "MATCH (a:Nation)-[e:TRADES* ALL WSHORTEST(n) 1..3]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c, length(e) AS n, count(*) AS m",
+        f"WITH {_TRADES}, w AS (SELECT f, d, CAST(n AS DOUBLE) AS c, 1 AS n FROM t UNION ALL SELECT x.f, y.d, x.n + y.n, 2 FROM t x JOIN t y ON x.d = y.f UNION ALL SELECT x.f, z.d, x.n + y.n + z.n, 3 FROM t x JOIN t y ON x.d = y.f JOIN t z ON y.d = z.f), r AS (SELECT *, min(c) OVER (PARTITION BY f, d) AS least FROM w WHERE f <> d) SELECT f AS a, d AS b, c, n, count(*) AS m FROM r WHERE c = least GROUP BY 1, 2, 3, 4",
     ),
     "call_show_tables": (graphs.trade, "CALL show_tables() RETURN name, type", "SELECT 'Nation' AS name, 'NODE' AS type UNION ALL SELECT 'TRADES', 'REL'"),
     "call_table_info": (graphs.commerce, "CALL table_info('Region') RETURN name, type, `primary key` AS pk", "SELECT 'r_regionkey' AS name, 'INT32' AS type, true AS pk UNION ALL SELECT 'r_name', 'STRING', false"),
     "merge_create": (
         graphs.commerce,
-        "CREATE NODE TABLE Tag(id INT64, n INT64 DEFAULT 0, PRIMARY KEY(id)); MATCH (c:Customer) WHERE c.c_custkey < 200 MERGE (t:Tag {id: c.c_custkey % 7}) ON CREATE SET t.n = 1; MATCH (t:Tag) RETURN t.id AS id, t.n AS n",
-        "SELECT DISTINCT c_custkey % 7 AS id, 1 AS n FROM customer WHERE c_custkey < 200",
+        "CREATE NODE TABLE Tag(id INT64, n INT64 DEFAULT 0, PRIMARY KEY(id)); MATCH (c:Customer) MERGE (t:Tag {id: c.c_custkey % 7}) ON CREATE SET t.n = 1; MATCH (t:Tag) RETURN t.id AS id, t.n AS n",
+        "SELECT DISTINCT c_custkey % 7 AS id, 1 AS n FROM customer",
     ),
     "set_delete": (
         graphs.commerce,
@@ -327,8 +352,8 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
 TEXTS |= {
     "join_hint": (
         graphs.commerce,
-        "MATCH (s:Supplier)-[e:SUPP_IN]->(n:Nation)<-[f:CUST_IN]-(c:Customer) WHERE n.n_nationkey < 5 HINT ((n JOIN e) JOIN s) JOIN (f JOIN c) RETURN n.n_nationkey AS k, count(*) AS n",
-        "SELECT n_nationkey AS k, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 5 GROUP BY 1",
+        "MATCH (s:Supplier)-[e:SUPP_IN]->(n:Nation)<-[f:CUST_IN]-(c:Customer) HINT ((n JOIN e) JOIN s) JOIN (f JOIN c) RETURN n.n_nationkey AS k, count(*) AS n",
+        "SELECT n_nationkey AS k, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
     ),
     "rec_undirected": (
         graphs.talk,
@@ -337,8 +362,8 @@ TEXTS |= {
     ),
     "rec_all_wshortest": (
         graphs.activity,
-        "MATCH (a:Event)-[e:NEXT_EVENT* ALL WSHORTEST(gap_s) 1..3]->(b:Event) WHERE a.user_id < 20 RETURN a.event_id AS a, b.event_id AS b, cost(e) AS c, length(e) AS n",
-        "WITH x AS (SELECT event_id AS f, user_id, lead(event_id) OVER w AS d, epoch_us(date_trunc('second', lead(ts) OVER w)) // 1000000 - epoch_us(date_trunc('second', ts)) // 1000000 AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), e AS (SELECT * FROM x WHERE d IS NOT NULL AND user_id < 20), w AS (SELECT f, d, g AS c, 1 AS n FROM e UNION ALL SELECT a.f, b.d, a.g + b.g, 2 FROM e a JOIN e b ON a.d = b.f UNION ALL SELECT a.f, c.d, a.g + b.g + c.g, 3 FROM e a JOIN e b ON a.d = b.f JOIN e c ON b.d = c.f) SELECT f AS a, d AS b, CAST(c AS DOUBLE) AS c, n FROM w",
+        "MATCH (a:Event)-[e:NEXT_EVENT* ALL WSHORTEST(gap_s) 1..3]->(b:Event) RETURN a.event_id AS a, b.event_id AS b, cost(e) AS c, length(e) AS n",
+        "WITH x AS (SELECT event_id AS f, user_id, lead(event_id) OVER w AS d, epoch_us(date_trunc('second', lead(ts) OVER w)) // 1000000 - epoch_us(date_trunc('second', ts)) // 1000000 AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), e AS (SELECT * FROM x WHERE d IS NOT NULL), w AS (SELECT f, d, g AS c, 1 AS n FROM e UNION ALL SELECT a.f, b.d, a.g + b.g, 2 FROM e a JOIN e b ON a.d = b.f UNION ALL SELECT a.f, c.d, a.g + b.g + c.g, 3 FROM e a JOIN e b ON a.d = b.f JOIN e c ON b.d = c.f) SELECT f AS a, d AS b, CAST(c AS DOUBLE) AS c, n FROM w",
     ),
     "rec_zero_length": (
         graphs.talk,
@@ -347,8 +372,8 @@ TEXTS |= {
     ),
     "union_over_patterns": (
         graphs.commerce,
-        "MATCH (o:Orders)-[:SHIPPED_BY]->(s:Supplier) WHERE s.s_suppkey < 5 RETURN s.s_suppkey AS k, count(DISTINCT o) AS n UNION ALL MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) WHERE s.s_suppkey < 5 RETURN s.s_suppkey AS k, count(*) AS n",
-        "SELECT l_suppkey AS k, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey < 5 GROUP BY 1 UNION ALL SELECT l_suppkey, count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey < 5 GROUP BY 1",
+        "MATCH (o:Orders)-[:SHIPPED_BY]->(s:Supplier) RETURN s.s_suppkey AS k, count(DISTINCT o) AS n UNION ALL MATCH (s:Supplier)-[:SUPPLIES]->(p:Part) RETURN s.s_suppkey AS k, count(*) AS n",
+        "SELECT l_suppkey AS k, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, count(DISTINCT l_partkey) FROM lineitem GROUP BY 1",
     ),
     "dependent_group_keys": (
         graphs.commerce,
