@@ -538,8 +538,9 @@ def test_index_finds_what_brute_force_finds(monkeypatch):
     # half of an item's words: near the threshold from either side
     texts += [" ".join(w for w in items[k][1].split() if r.random() < 0.8) for k in range(40)]
     want = brute_hits(texts, items)
-    for most in (4_000_000, 50):
+    for most, dense in ((4_000_000, 1 << 20), (50, 0)):
         monkeypatch.setattr(decontaminate, "MOST_SUMS", most)
+        monkeypatch.setattr(decontaminate, "MOST_DENSE", dense)
         got = {(d, i): s for d, i, s, _, _ in decontaminate.Benchmark(items).hits(texts)}
         assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
     assert all((d, d % 40) in got for d in range(0, 60, 3)) and len({d for d, _ in got if d >= 62}) > 5

@@ -7,10 +7,11 @@ two strides, and the stride of an index is the power of two that its items fit i
 whole in some window and a long item widens the windows of no other.
 
 Block-max WAND in two steps. For all windows of a batch at once: the terms of a window whose maxima together stay under
-1 can't make a hit by themselves, so only blocks that hold one of its other terms are looked at, and of those only the
-ones where the block maxima of these terms and the maxima of the rest reach 1. What is left is searched
-document-at-a-time with cursors, a pivot by the terms' maxima, and the block maxima to pass over blocks. Nothing above
-threshold is lost by either bound. Hits are verified on word n-grams, the item's question and its answer separately.
+1 can't make a hit by themselves, so only blocks that hold one of its other terms are looked at; of those the ones
+stay where the block maxima of these terms and the maxima of the rest reach 1, and of these the ones where the block
+maxima of all its terms do. What is left is searched document-at-a-time with cursors, a pivot by the terms' maxima, and
+the block maxima to pass over blocks. Nothing above threshold is lost by any bound. Hits are verified on word n-grams,
+the item's question and its answer separately.
 
 Numbers of items with a term, of items, and their mean length are those of the whole benchmark, computed in Spark. The
 index is held in sparse arrays and broadcast in passes of `INDEX_BYTES` of benchmark text each (mostly one); an item's
@@ -25,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ LEAST_STRIDE = 32
 INDEX_BYTES = 4_000_000
 #: Sums of block maxima that are held at once.
 MOST_SUMS = 4_000_000
+#: Entries of a table of block maxima that a worker may hold beside the sparse arrays (8 bytes each).
+MOST_DENSE = 1 << 20
 #: Characters of documents whose windows are bounded at once.
 GROUP_CHARS = 3_000_000
 
@@ -115,6 +119,7 @@ class BlockMaxIndex:
         self.blocks = (keys % (len(items) // block + 1)).astype(np.int32)
         self.maxima = np.maximum.reduceat(self.impact, at) if len(at) else self.impact
         self.first_block = np.searchsorted(keys // (len(items) // block + 1), every)  # of each term's blocks
+        self.keys = keys  # term and block of each maximum, ascending
         self.term_max = np.zeros(len(vocab))
         np.maximum.at(self.term_max, term, self.impact)
         self._lists: dict[int, tuple[list[int], list[float], dict[int, float]]] = {}
@@ -183,6 +188,36 @@ class BlockMaxIndex:
             shares.append(len(gs & have) / len(gs) if gs else 1.0)
         return shares[0], shares[1]
 
+    def _bounds(self, number: np.ndarray, block: np.ndarray, start: np.ndarray, size: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """The sums of the block maxima of all terms of each window, for pairs of windows and blocks."""
+        n_blocks, out = len(self.ids) // self.block + 1, np.zeros(len(number))
+        ends = np.cumsum(size[number])
+        low = 0
+        while low < len(number):  # bounded memory for the terms of the windows
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MOST_SUMS, "right")))
+            w = size[number[low:high]]
+            first = np.cumsum(w) - w
+            t = term[np.arange(int(w.sum())) + np.repeat(start[number[low:high]] - first, w)]
+            if self.table is not None:
+                found = self.table[t, np.repeat(block[low:high], w)]
+            else:
+                key = t * n_blocks + np.repeat(block[low:high], w)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = np.where(self.keys[at] == key, self.maxima[at], 0.0)
+            out[low:high] = np.add.reduceat(found, first)
+            low = high
+        return out
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """The maxima by term and block where that is a small table; larger ones are searched in the sparse arrays."""
+        n_blocks = len(self.ids) // self.block + 1
+        if len(self.term_max) * n_blocks > MOST_DENSE:
+            return None
+        out = np.zeros((len(self.term_max), n_blocks))
+        out[self.keys // n_blocks, self.keys % n_blocks] = self.maxima
+        return out
+
     def candidates(self, window: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, np.ndarray, set[int]]]:
         """(window, its terms, blocks that may hold a hit) from pairs in order of windows."""
         mine = self.term_max[term] > 0
@@ -214,6 +249,7 @@ class BlockMaxIndex:
             key, back = np.unique(np.repeat(number[low:high], w) * n_blocks + self.blocks[at], return_inverse=True)
             bound = np.bincount(back, self.maxima[at]) + rest[key // n_blocks]
             key = key[bound >= 0.9998]
+            key = key[self._bounds(key // n_blocks, key % n_blocks, start, size, term) >= 0.9998]
             blocks: dict[int, set[int]] = defaultdict(set)
             for n, b in zip((key // n_blocks).tolist(), (key % n_blocks).tolist()):
                 blocks[n].add(b)
@@ -235,7 +271,8 @@ class BlockMaxIndex:
         # a window is a stride and the next one; the last stride of a text is in the window before it
         ahead, behind = (seg < first[text + 1] - 1) | (segs[text] == 1), seg > first[text]
         n_terms = len(self.first) - 1
-        pairs = np.unique(np.concatenate((seg[ahead] * n_terms + tid[known[ahead]], (seg[behind] - 1) * n_terms + tid[known[behind]])))
+        pairs = np.sort(np.concatenate((seg[ahead] * n_terms + tid[known[ahead]], (seg[behind] - 1) * n_terms + tid[known[behind]])))
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)]]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for window, query, blocks in self.candidates(pairs // n_terms, pairs % n_terms):
             d = int(np.searchsorted(first, window, "right")) - 1
