@@ -76,6 +76,11 @@ def used_properties(clauses: list) -> dict[str, set[str]]:
                     visit(i.expr)
             for x in (e.body.order, e.body.skip, e.body.limit, e.body.where):
                 visit(x)
+        elif isinstance(e, S.Subquery):
+            for x in (x for p in e.patterns for x in (*p.nodes, *p.rels)):
+                found.setdefault(x.var, set()).add("=")  # what a subquery shares can't be folded away
+            visit(e.patterns)
+            visit(e.where)
         elif isinstance(e, S.Path):
             if e.var:
                 paths.append(e)

@@ -18,6 +18,8 @@ from .subquery import attach, where
 if TYPE_CHECKING:
     from ..session import Session
 
+VOLATILE = frozenset(("RANDOM", "GEN_RANDOM_UUID"))
+
 
 def _items(scope: Scope, body: S.Projection) -> list[tuple[S.Expr, str]]:
     found = []
@@ -159,6 +161,12 @@ def _grouped(session: Session, scope: Scope, items: list[tuple[S.Expr, str]], re
             for part in _plain_parts(e):
                 if not any(part == x for x, _ in stands):
                     add_key(part, f"__g{len(stands)}")
+    volatile = [a.args[0] for a in calls if any(isinstance(x, S.Call) and x.name in VOLATILE for x in S.walk(a.args))]
+    if volatile:  # Spark aggregates no random values: they are drawn before
+        drawn = {f"__v{i}": c.compile(e).col for i, e in enumerate(volatile)}
+        scope = Scope(scope.df.withColumns(drawn), scope.vars)
+        c = Compiler(session, scope, params)
+        c.replaced = [*replaced(c), *((e, c.typed(F.col(v))) for e, v in zip(volatile, drawn))]
     aggregates = [c.aggregate(a).alias(f"__a{i}") for i, a in enumerate(calls)]
     df = scope.df.groupBy(*keys).agg(*aggregates, *firsts) if keys else scope.df.agg(*aggregates)
     held.df = df

@@ -77,7 +77,8 @@ def _inner(session: Session, scope: Scope, sub: S.Subquery, params: dict) -> tup
     outer = sorted(v for v in names_in(sub.where) | {n for p in sub.patterns for x in (*p.nodes, *p.rels) for e in x.props.values() for n in names_in(e)} if v in scope.vars and v not in mine)
     used = used_properties([S.Match(sub.patterns, sub.where, False)])
     matcher = Matcher(session, used, params)
-    if outer or any(scope.vars[v].kind != "node" for v in shared):
+    # with two ends or more the outer rows bound the search: alone it would pair all ends of the graph
+    if outer or len(shared) > 1 or any(scope.vars[v].kind != "node" for v in shared):
         tied = [c for v in (*shared, *outer) for c in scope.vars[v].columns() if c in scope.df.columns]
         start = Scope(scope.df.select(*[F.col(f"`{c}`") for c in tied]).distinct(), {v: scope.vars[v] for v in (*shared, *outer)})
         found = matcher.match(sub.patterns, start)

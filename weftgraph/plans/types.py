@@ -193,7 +193,7 @@ def cast(c: Column, have: T.DataType, want: T.DataType, name: str = "") -> Colum
         out = c.cast(want)
         bits = _BITS.get(up)
         if bits and up.startswith("U"):
-            top = F.lit((1 << bits) - 1).cast("decimal(38,0)") if bits < 128 else F.lit("99999999999999999999999999999999999999").cast("decimal(38,0)")
+            top = F.lit(str((1 << bits) - 1) if bits < 128 else "9" * 38).cast("decimal(38,0)")
             bad = (c.cast("decimal(38,0)") < 0) | (c.cast("decimal(38,0)") > top)
             out = F.when(bad, F.raise_error(F.concat(F.lit("out of range of " + up + ": "), c.cast("string"))).cast(want)).otherwise(out)
         return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs
+from . import graphs, more_queries
 from .statements import projected_session
 from .storage import shared_dir
 from .streaming.follower import FollowerStore
@@ -430,6 +430,9 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "follower_store": (_follower, "SELECT 'n' || n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey <> 2 THEN CAST(n_regionkey AS BIGINT) END AS region FROM nation WHERE n_regionkey <> 1 AND n_nationkey <> 3"),
 }
 
+TEXTS |= more_queries.TEXTS
+OTHERS |= more_queries.OTHERS
+
 
 def _query(graph: Callable, text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: graph(spark, sf_dir).query(text)
