@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,12 +67,29 @@ class Sequence:
     def take(self, n: int = 1) -> int:
         """Advances by n values; the first of them."""
         first = self.start if self.last is None else self._next(self.last)
-        value = first
-        for _ in range(n - 1):
-            value = self._next(value)
-        self.last = value
+        if n > 1 and not self.cycle and not self.low <= first + (n - 1) * self.increment <= self.high:
+            raise QueryError(f"sequence {self.name} has reached its end")
+        self.last = self.at(first, n - 1)
         return first
 
+    def _turn(self, first: int) -> tuple[int, int, int]:
+        """How many values there are from `first` to the end, in a whole turn, and where a turn begins."""
+        begin, end = (self.low, self.high) if self.increment > 0 else (self.high, self.low)
+        return (end - first) // self.increment + 1, (end - begin) // self.increment + 1, begin
+
+    def at(self, first: int, place: int) -> int:
+        """The value `place` steps after `first`."""
+        ahead, turn, begin = self._turn(first)
+        return first + place * self.increment if place < ahead else begin + (place - ahead) % turn * self.increment
+
+    def column(self, first: int, place: SparkColumn) -> SparkColumn:
+        """The same of a column of places."""
+        ahead, turn, begin = (F.lit(str(x)).cast("decimal(38,0)") for x in self._turn(first))
+        straight, p = F.lit(first) + place * F.lit(self.increment), place.cast("decimal(38,0)")
+        if not self.cycle:
+            return straight
+        return F.when(p < ahead, straight).otherwise((begin + (p - ahead) % turn * F.lit(self.increment)).cast("long"))
+
     def _next(self, value: int) -> int:
         value += self.increment
         if not self.low <= value <= self.high:
@@ -191,6 +209,11 @@ class GraphCatalog:
         more = [T.StructField(c.name, c.type) for c in columns]
         return self.spark.createDataFrame([], T.StructType([*ends, *more, T.StructField("_rid", T.LongType())]))
 
+    def sequence(self, name: str) -> Sequence:
+        if name not in self.sequences:
+            raise QueryError(f"sequence {name} does not exist")
+        return self.sequences[name]
+
     def table(self, name: str) -> NodeTable | RelTable:
         found = self.nodes.get(name) or self.rels.get(name)
         if found is None:

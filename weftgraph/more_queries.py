@@ -74,6 +74,16 @@ TEXTS: dict[str, tuple[Callable, str, str]] = {
         "SELECT n_nationkey AS k, n_name AS b, 1 AS e FROM nation",
     ),
     "sequences": (graphs.commerce, "CREATE SEQUENCE q START 2 INCREMENT 3; RETURN nextval('q'); RETURN nextval('q'); RETURN currval('q') AS c, nextval('q') AS n", "SELECT 5 AS c, 8 AS n"),
+    "sequence_of_rows": (
+        graphs.commerce,
+        "CREATE SEQUENCE q START 10 INCREMENT 5; MATCH (c:Customer) WITH c, nextval('q') AS v RETURN count(DISTINCT v) AS n, min(v) AS lo, max(v) AS hi, currval('q') - max(v) AS gap",
+        "SELECT count(*) AS n, 10 AS lo, 5 + 5 * count(*) AS hi, 0 AS gap FROM customer",
+    ),
+    "sequence_cycles": (
+        graphs.commerce,
+        "CREATE SEQUENCE q START 3 INCREMENT 2 MINVALUE 1 MAXVALUE 8 CYCLE; MATCH (c:Customer) WITH nextval('q') AS v RETURN v, count(*) AS n",
+        "WITH t AS (SELECT row_number() OVER () - 1 AS p FROM customer) SELECT CASE WHEN p < 3 THEN 3 + 2 * p ELSE 1 + 2 * ((p - 3) % 4) END AS v, count(*) AS n FROM t GROUP BY 1",
+    ),
     "sequence_as_default": (
         graphs.commerce,
         "CREATE NODE TABLE Mark(id SERIAL, k INT64, PRIMARY KEY(id)); MATCH (c:Customer) CREATE (:Mark {k: c.c_custkey}); MATCH (m:Mark) RETURN count(DISTINCT m.id) AS n, min(m.id) AS lo, max(m.id) AS hi, count(DISTINCT m.k) AS ks",
@@ -201,6 +211,22 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.union(s.query(f"LOAD FROM ['{base}-0.parquet', '{base}-1.parquet'] RETURN 'list' AS how, k, name"))
 
 
+def _npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and their ids from two .npy files in the shared folder, one per column."""
+    import numpy as np
+    from pyarrow import fs
+
+    base, s = _place(spark, "npy"), graphs.Session(spark)
+    keys = np.arange(200_000, dtype=np.int64)
+    for name, values in (("id", keys), ("v", np.stack([keys, keys * 2], 1).astype(np.float32))):
+        store, path = fs.FileSystem.from_uri(base) if ":" in base else (fs.LocalFileSystem(), base)
+        with store.open_output_stream(f"{path}-{name}.npy") as f:
+            np.save(f, values)
+    s.query("CREATE NODE TABLE V(id INT64, e FLOAT[2], PRIMARY KEY(id))")
+    s.query(f"COPY V FROM ('{base}-id.npy', '{base}-v.npy') BY COLUMN")
+    return s.query("MATCH (v:V) RETURN v.id % 10 AS k, count(*) AS n, sum(v.e[1]) AS a, sum(v.e[2]) AS b")
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A temporary view read by its name, and a frame as a parameter."""
     s, name = graphs.Session(spark), f"weft_{uuid.uuid4().hex}"
@@ -283,6 +309,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "csv_dialect": (_dialect, "SELECT c_custkey AS id, c_name || ';x' AS name, c_acctbal AS bal FROM customer"),
     "read_csv_functions": (_csv_functions, "SELECT n_nationkey AS k, n_name AS name FROM nation"),
     "paths_and_patterns": (_paths, "SELECT how, n_nationkey AS k, n_name AS name FROM nation, (VALUES ('pattern'), ('list')) v(how)"),
+    "npy_columns": (_npy, "SELECT id % 10 AS k, count(*) AS n, CAST(sum(id) AS DOUBLE) AS a, CAST(sum(id * 2) AS DOUBLE) AS b FROM range(200000) t(id) GROUP BY 1"),
     "scan_replacement": (_frames, "SELECT how, n_nationkey AS k FROM nation, (VALUES ('view'), ('parameter')) v(how)"),
     "prepared_statement": (_prepared, "SELECT CAST(least AS DOUBLE) AS least, count(*) AS n FROM customer, (VALUES (0.0), (5000.0)) v(least) WHERE c_acctbal > least GROUP BY 1"),
     "own_functions": (_udfs, "SELECT i AS k, 'ROW!' AS name FROM (SELECT unnest(range(3)) AS i) UNION ALL SELECT n_nationkey, upper(n_name) || '!' FROM nation"),

@@ -64,21 +64,42 @@ def number_serials(session: Session, df: DataFrame, table: NodeTable, prefix: st
         if c.kind.upper() != "SERIAL":
             continue
         seq = session.catalog.sequences[f"{table.name}_{c.name}_serial"]
-        marked = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
-        n = marked.count()
+        placed, n = in_places(df)
         first = seq.take(n) if n else 0
-        # ids rise within partitions: their rank is the sum of the partitions before and the place in their own
-        part = F.shiftright("__row", 33)
-        sizes = {r.p: r.n for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-        starts, total = {}, 0
-        for p in sorted(sizes):
-            starts[p], total = total, total + sizes[p]
-        begin = F.create_map(*[F.lit(x).cast("long") for p, s in starts.items() for x in (p, s)]) if starts else F.create_map().cast("map<bigint,bigint>")
-        place = F.element_at(begin, part.cast("long")) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
-        df = marked.withColumn(f"{prefix}{c.name}", F.lit(first) + place).drop("__row")
+        df = placed.withColumn(f"{prefix}{c.name}", F.lit(first) + F.col("__place")).drop("__place")
     return df
 
 
+def in_places(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with their places from 0 on, and how many there are; only one count a partition is collected."""
+    marked = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+    # ids rise within partitions: a place is the sum of the partitions before and the rank in its own
+    part = F.shiftright("__row", 33)
+    sizes = {r.p: r.n for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = {}, 0
+    for p in sorted(sizes):
+        starts[p], total = total, total + sizes[p]
+    begin = F.create_map(*[F.lit(x).cast("long") for p, s in starts.items() for x in (p, s)]) if starts else F.create_map().cast("map<bigint,bigint>")
+    place = F.element_at(begin, part.cast("long")) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return marked.withColumn("__place", place).drop("__row"), total
+
+
+def draw(session: Session, clause, scope: Scope) -> Scope:
+    """NEXTVAL gives each row of the clause its own value: a column for each sequence that the clause draws from.
+
+    Two NEXTVAL of one sequence in a clause give a row the same value. No rows draw nothing.
+    """
+    calls = [x for x in S.walk(clause) if isinstance(x, S.Call) and x.name == "NEXTVAL"]
+    if not calls or scope.df is None:
+        return scope
+    compiler = Compiler(session, Scope(None, {}), {})
+    df, n = in_places(scope.df)
+    for name in sorted({compiler.constant(x.args[0]) for x in calls}):
+        seq = session.catalog.sequence(name)
+        df = df.withColumn(f"__next_{name}", seq.column(seq.take(n), F.col("__place")) if n else F.lit(0).cast("long"))
+    return Scope(df.drop("__place"), scope.vars)
+
+
 def check_keys(table: NodeTable, new: DataFrame) -> None:
     """Primary keys are present, new, and not repeated."""
     key = new.select(F.col(f"`{table.key}`").alias("k"))

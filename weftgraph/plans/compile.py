@@ -364,9 +364,10 @@ class Compiler:
 
     def _fn_nextval(self, e: S.Call) -> Typed:
         name = self.constant(e.args[0])
-        if name not in self.session.catalog.sequences:
-            raise QueryError(f"sequence {name} does not exist")
-        return self.literal(self.session.catalog.sequences[name].take())
+        sequence = self.session.catalog.sequence(name)
+        if self.scope.df is not None and f"__next_{name}" in self.scope.df.columns:
+            return self.typed(F.col(f"`__next_{name}`"))
+        return self.literal(sequence.take())
 
     def _fn_currval(self, e: S.Call) -> Typed:
         s = self.session.catalog.sequences.get(self.constant(e.args[0]))

@@ -124,6 +124,9 @@ class Session:
         return scope.df
 
     def step(self, clause: Any, scope: Scope, used: dict, params: dict[str, Any], folds: bool = False) -> Scope:
+        from .operators import update
+
+        scope = update.draw(self, clause, scope)
         if isinstance(clause, S.Match):
             if clause.optional:
                 return subquery.optional(self, scope, clause, used, params)
@@ -146,8 +149,6 @@ class Session:
             from .operators.tables import call_table
 
             return self._values(call_table(self, clause, params), scope, clause.yields, clause.where, params)
-        from .operators import update
-
         if self.read_only:
             raise QueryError("Cannot execute write operations in a read-only transaction!")
         return update.step(self, clause, scope, used, params)

@@ -184,28 +184,54 @@ def _list_brackets(c, t: T.DataType, o: dict):
 
 
 # --- NPY
+def _npy_open(path: str):
+    """The file of a path or of an address in any store that Arrow reads, on the driver and on workers alike."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return store.open_input_file(name)
+
+
+def _npy_head(path: str) -> tuple[tuple[int, ...], Any, int]:
+    """Shape, type and the place of the first value."""
+    import numpy as np
+
+    with _npy_open(path) as f:
+        start = io.BytesIO(f.read(65_536))
+    version = np.lib.format.read_magic(start)
+    shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(start)
+    if by_column and len(shape) > 1:
+        raise QueryError("npy files in Fortran order are not supported")
+    return shape, kind, start.tell()
+
+
 def read_npy(session: Session, paths: list[str], names: list[str] | None = None) -> DataFrame:
-    """One .npy file per column; files are read on the workers in slices, joined by row number."""
+    """One .npy file per column; workers read the bytes of their slices only, columns are joined by row number."""
     import numpy as np
 
     out = None
     for i, path in enumerate(paths):
         name = names[i] if names else f"column{i}"
-        head = np.load(path, mmap_mode="r")
-        kind: T.DataType = {"int64": T.LongType(), "int32": T.IntegerType(), "int16": T.ShortType(), "float64": T.DoubleType(), "float32": T.FloatType()}.get(str(head.dtype), None)
+        shape, dtype, begin = _npy_head(path)
+        kind: T.DataType = {"int64": T.LongType(), "int32": T.IntegerType(), "int16": T.ShortType(), "float64": T.DoubleType(), "float32": T.FloatType()}.get(dtype.name, None)
         if kind is None:
-            raise QueryError(f"unsupported npy type {head.dtype}")
-        for _ in head.shape[1:]:
+            raise QueryError(f"unsupported npy type {dtype}")
+        for _ in shape[1:]:
             kind = T.ArrayType(kind)
-        rows, per = head.shape[0], 65_536
+        rows, width = shape[0], int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
+        per = max(1, min(65_536, (8 << 20) // max(1, width)))  # slices of 8 MB at most
 
-        def slices(batches, path=path, per=per, rows=rows):
+        def slices(batches, path=path, per=per, rows=rows, width=width, dtype=dtype, shape=shape, begin=begin):
+            import numpy as np
             import pandas as pd
 
-            for pdf in batches:
-                for start in pdf["id"].tolist():
-                    part = np.load(path, mmap_mode="r")[start * per : min(rows, (start + 1) * per)]
-                    yield pd.DataFrame({"__row": range(start * per, start * per + len(part)), "v": list(part.tolist())})
+            with _npy_open(path) as f:
+                for pdf in batches:
+                    for first in (pdf["id"] * per).tolist():
+                        n = min(rows - first, per)
+                        f.seek(begin + first * width)
+                        part = np.frombuffer(f.read(n * width), dtype).reshape(n, *shape[1:])
+                        yield pd.DataFrame({"__row": range(first, first + n), "v": part.tolist()})
 
         column = session.spark.range(-(-rows // per)).mapInPandas(slices, T.StructType([T.StructField("__row", T.LongType()), T.StructField("v", kind)])).withColumnRenamed("v", name)
         out = column if out is None else out.join(column, "__row")
