@@ -45,6 +45,9 @@ CUT_BLOCKS = ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF
 CONTRACTIONS = (b"re", b"ve", b"ll")
 #: Characters that are encoded at once: the more, the fewer distinct fragments for each.
 GROUP_CHARS = 8_000_000
+#: The same two in a stage of a pipeline, whose workers may still hold what earlier stages have loaded. They bound
+#: memory only: whatever the memo lacks is encoded again.
+STAGE_FRAGMENTS, STAGE_CHARS = 400_000, 2_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -269,9 +272,11 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def byte_bpe(path: str) -> ByteBpe:
+def byte_bpe(path: str, memo_fragments: int = MEMO_FRAGMENTS) -> ByteBpe:
+    """The worker's encoder of a file, whose memo may hold so many fragments from now on."""
     if ("own", path) not in _loaded:
-        _loaded["own", path] = ByteBpe(path)
+        _loaded["own", path] = ByteBpe(path, memo_fragments)
+    _loaded["own", path].limit = memo_fragments
     return _loaded["own", path]
 
 
@@ -333,9 +338,9 @@ def with_ids(docs: DataFrame, path: str | None = None, text_col: str = "text") -
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
+        bpe = byte_bpe(path, STAGE_FRAGMENTS)
         for batch in batches:
-            for start, texts in groups(batch.column(at), GROUP_CHARS):
+            for start, texts in groups(batch.column(at), STAGE_CHARS):
                 raw = bpe.encode_many(texts)
                 sizes = [len(r) // 4 for r in raw]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
