@@ -130,3 +130,49 @@ def test_relationships_keep_their_identity_over_shuffles(spark):
     once, twice = ({r.w: r.i for r in s.query("MATCH (a:N)-[e:R]->(b:N) RETURN e.w AS w, id(e) AS i").collect()} for _ in range(2))
     assert once == twice and len(set(map(str, once.values()))) == 2000
     assert s.query("MATCH (a:N)-[e:R]->(b:N), (a)-[f:R]->(b) WHERE e <> f AND e.w = f.w RETURN count(*) AS n").first().n == 0
+
+
+def test_rows_that_stand_for_several_walks(random_graph):
+    """Counts by weights, over walks written out, in subqueries and beside other patterns, against all walks."""
+    s, edges = random_graph
+    every = [(n[0], n[-1], len(r)) for n, r in walks(edges, 4)]
+    by_length = {(r.n, r.c, r.few, r.ends, r.hi) for r in s.query("MATCH (a:N)-[e:R*1..4]->(b:N) RETURN length(e) AS n, count(*) AS c, count(b) AS few, count(DISTINCT b.k) AS ends, max(b.k) AS hi").collect()}
+    want = {n: [b for _, b, m in every if m == n] for n in {m for _, _, m in every}}
+    assert by_length == {(n, len(bs), len(bs), len(set(bs)), max(bs)) for n, bs in want.items()}
+    out = tally(a for a, _, _ in every)
+    rows = s.query("MATCH (a:N) RETURN a.k AS k, COUNT { MATCH (a)-[:R*1..4]->(b:N) } AS n").collect()
+    assert {r.k: r.n for r in rows} == {k: out.get(k, 0) for k in range(7)}
+    some = s.query("MATCH (a:N) WHERE EXISTS { MATCH (a)-[:R*2..3]->(b:N) } RETURN count(*) AS n").first().n
+    assert some == len({a for a, _, m in every if m in (2, 3)})
+    degree = tally(a for a, _, _ in edges)
+    both = s.query("MATCH (a:N)-[:R*1..2]->(b:N)-[:R]->(c:N) RETURN count(*) AS n").first().n
+    assert both == sum(degree.get(b, 0) for _, b, m in every if m <= 2)
+    listed = s.query("MATCH (a:N)-[e:R*1..4]->(b:N) RETURN a.k AS a, b.k AS b").collect()
+    assert tally((r.a, r.b) for r in listed) == tally((a, b) for a, b, _ in every)
+
+
+def test_many_walks_are_written_out_in_runs(spark):
+    """Two nodes with 10 parallel relationships each way: 10,000 walks of four hops from each."""
+    from weftgraph.catalog import GraphCatalog
+
+    g = GraphCatalog(spark)
+    g.add_nodes("N", spark.range(2).withColumnRenamed("id", "k"), "k")
+    g.add_rels("R", spark.range(20).selectExpr("id % 2 AS a", "1 - id % 2 AS b", "id AS i"), ("N", "a"), ("N", "b"), rid="i")
+    s = Session(spark, g)
+    rows = s.query("MATCH (a:N)-[e:R*4..4]->(b:N) RETURN a.k AS a, b.k AS b, sum(1) AS n").collect()
+    assert sorted((r.a, r.b, int(r.n)) for r in rows) == [(0, 0, 10_000), (1, 1, 10_000)]
+    assert s.query("MATCH (a:N)-[e:R*1..9]->(b:N) WHERE a.k = 0 RETURN count(*) AS n").first().n == sum(10**h for h in range(1, 10))
+
+
+def test_the_search_starts_where_the_condition_fixes_a_key(random_graph):
+    s, edges = random_graph
+    plan = s.query("EXPLAIN LOGICAL MATCH (a:N)-[e:R]->(b:N) WHERE b.k = 3 RETURN a.k").first()[0]
+    got = sorted(r.k for r in s.query("MATCH (a:N)-[e:R]->(b:N) WHERE b.k = 3 RETURN a.k AS k").collect())
+    assert got == sorted(a for a, b, _ in edges if b == 3) and "= 3" in plan
+
+
+def test_profile_counts_the_rows_of_operators(random_graph):
+    s, edges = random_graph
+    r = s.query("PROFILE MATCH (a:N)-[e:R]->(b:N) WHERE e.w > 3 RETURN a.k, e.w").first()
+    assert r.rows == sum(w > 3 for _, _, w in edges)
+    assert any(o.rows == r.rows for o in r.operators) and [o.depth for o in r.operators][0] == 0

@@ -18,8 +18,12 @@ def _double(c):
 
 
 def _whole(f, c):
-    """floor or ceil of a double as a double; from 2^52 on (and for NaN) the value itself, which has no fraction."""
-    return F.when(F.abs(c) < float(1 << 52), f(c).cast("double")).otherwise(c)
+    """floor or ceil of a double as a double; from 2^52 on (and for NaN) the value itself, which has no fraction.
+
+    A zero has the sign of the value, as IEEE 754 wants it: ceil(-0.5) is -0.0.
+    """
+    whole = f(c).cast("double")
+    return F.when(F.abs(c) < float(1 << 52), F.when(whole == 0, c.cast("double") * 0.0).otherwise(whole)).otherwise(c)
 
 
 def _is_float(*values: Value) -> bool:

@@ -115,16 +115,20 @@ WEIGHT = "__weight"
 
 
 def only_counts(clauses: list) -> bool:
-    """Whether a query is one MATCH whose RETURN only counts rows, so that matches may be counted without being made."""
+    """Whether a query is one MATCH whose RETURN doesn't look at single rows beyond counting them, so that matches may
+    be counted without being made: rows may stand for several matches where only these aggregates are asked for."""
     if len(clauses) != 2 or not isinstance(clauses[0], S.Match) or clauses[0].optional or not isinstance(clauses[1], S.Return):
         return False
     calls = [x for i in clauses[1].body.items for x in S.walk(i.expr) if isinstance(x, S.Call) and x.name in AGGREGATES]
-    return bool(calls) and all(c.name == "COUNT_STAR" for c in calls) and not any(isinstance(x, S.Star) for x in S.walk(clauses[1]))
+    by_weight = lambda c: c.distinct or c.name in ("COUNT_STAR", "COUNT", "MIN", "MAX")
+    return bool(calls) and all(by_weight(c) for c in calls) and not any(isinstance(x, S.Star) for x in S.walk(clauses[1]))
 
 
 class Matcher:
-    def __init__(self, session: Session, used: dict[str, set[str]], params: dict, fold: bool = False):
-        self.session, self.catalog, self.used, self.params, self.fold = session, session.catalog, used, params, fold
+    def __init__(self, session: Session, used: dict[str, set[str]], params: dict, fold: bool = False, weigh: bool = False, where: S.Expr | None = None):
+        """`fold`: branches may become weights; `weigh`: walks may; `where`: the condition to come, for the join order."""
+        self.session, self.catalog, self.used, self.params, self.fold, self.weigh = session, session.catalog, used, params, fold, weigh or fold
+        self.tests = [({x.name for x in S.walk(t) if isinstance(x, S.Var)}, t) for t in _conjuncts(where)]
 
     # --- frames
     def node_bound(self, var: str, labels: set[str]) -> Bound:
@@ -326,7 +330,9 @@ class Matcher:
 
     def _rank(self, spec: NodeSpec, edges: list[EdgeSpec]) -> tuple[int, int]:
         keys = {self.catalog.nodes[n].key for n in spec.labels}
-        selective = 0 if set(spec.props) & keys else 1 if spec.props else 2 if any(spec.var in (e.a, e.b) for e in edges) else 3
+        own = [t for names, t in self.tests if names == {spec.var} and not any(isinstance(x, S.Subquery) for x in S.walk(t))]
+        fixed = any(isinstance(t, S.Call) and t.name == "=" and any(a == S.Prop(S.Var(spec.var), k) for a in t.args for k in keys) for t in own)
+        selective = 0 if fixed or set(spec.props) & keys else 1 if own or spec.props else 2 if any(spec.var in (e.a, e.b) for e in edges) else 3
         return selective, len(spec.labels)
 
     def _inline(self, var: str, props: dict[str, S.Expr], scope: Scope) -> Column:
@@ -461,8 +467,9 @@ class Matcher:
         sources = out.df.select(ident(here.col("_label"), here.col("_key")).alias("s")).distinct()
         if not many and set(here.labels) != labels:
             sources = out.df.where(here.col("_label").isin(sorted(labels))).select(here.col("_key").alias("s")).distinct()
-        found = traverse(edges, sources, Spec(r.low, high, r.mode, paths), inner)
+        found = traverse(edges, sources, Spec(r.low, high, r.mode, paths, self.weigh), inner)
         v = e.var
+        several = [F.col("m").alias(f"{v}$m")] if "m" in found.columns else []
         if paths:
             # the last node of `mids` is the end itself: the relationship's own nodes are those between
             back = (lambda c: F.reverse(c)) if flip else (lambda c: c)
@@ -470,7 +477,7 @@ class Matcher:
             path = F.struct(back(between).alias("_NODES"), back(F.col("rels")).alias("_RELS"))
         else:
             path = F.lit(None).cast("string")
-        found = found.select(F.col("s").alias(f"{v}$s"), F.col("t").alias(f"{v}$t"), F.col("n").alias(f"{v}$_length"), F.col("cost").alias(f"{v}$_cost"), path.alias(f"{v}$_path"))
+        found = found.select(F.col("s").alias(f"{v}$s"), F.col("t").alias(f"{v}$t"), F.col("n").alias(f"{v}$_length"), F.col("cost").alias(f"{v}$_cost"), path.alias(f"{v}$_path"), *several)
         joined = out.df.join(found, ident(here.col("_label"), here.col("_key")) == F.col(f"`{v}$s`"))
         out.vars[v] = Bound("walk", v)
         if end in out.vars:
@@ -483,7 +490,9 @@ class Matcher:
             out.vars[end] = nb
             if nodes[end].props:
                 joined = joined.where(self._inline(end, nodes[end].props, Scope(joined, out.vars)))
-        out.df = joined.drop(f"{v}$s", f"{v}$t")
+        if several:
+            joined = joined.withColumn(WEIGHT, F.col(f"`{v}$m`") * F.col(WEIGHT) if WEIGHT in joined.columns else F.col(f"`{v}$m`"))
+        out.df = joined.drop(f"{v}$s", f"{v}$t", f"{v}$m")
 
     def _path(self, path: S.Path, out: Scope) -> None:
         """The path variable: all nodes and relationships in order, brought to one type each."""

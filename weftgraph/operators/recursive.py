@@ -25,10 +25,18 @@ class Spec:
     high: int
     mode: str  # WALK, TRAIL, ACYCLIC, SHORTEST, ALL SHORTEST, WSHORTEST, ALL WSHORTEST
     paths: bool = False
+    weighed: bool = False  # walks that nobody looks at may stay one row with their number in m
+
+
+#: Rows that stand for m walks are written out in runs of this many, so no array grows with m.
+RUN = 4096
 
 
 def traverse(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame | None = None) -> DataFrame:
-    """(s, t, n, cost[, rels, mids]): one row per path; `sources` has the column s, `inner` the allowed mid nodes as k."""
+    """(s, t, n, cost[, rels, mids]): one row per path; `sources` has the column s, `inner` the allowed mid nodes as k.
+
+    A weighed spec without paths gives rows with a further column m where each stands for m walks (mode WALK only).
+    """
     if spec.mode in ("WSHORTEST", "ALL WSHORTEST"):
         return _weighted(edges, sources, spec, inner)
     if spec.mode in ("SHORTEST", "ALL SHORTEST"):
@@ -73,7 +81,11 @@ def _counted(edges: DataFrame, sources: DataFrame, spec: Spec, inner: DataFrame
         if hop >= spec.low:
             levels.append(frontier.withColumn("n", F.lit(hop).cast("long")))
     out = _all(levels, frontier.withColumn("n", F.lit(0).cast("long")))
-    once = out.withColumn("again", F.explode(F.when(F.col("m") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "m"))))
+    if spec.weighed:
+        return out.select("s", "t", "n", F.lit(None).cast("double").alias("cost"), "m")
+    zero = F.lit(0).cast("long")
+    runs = out.withColumn("run", F.explode(F.sequence(zero, F.floor((F.col("m") - 1) / RUN))))
+    once = runs.withColumn("again", F.explode(F.sequence(zero, F.least(F.lit(RUN), F.col("m") - F.col("run") * RUN) - 1)))
     return once.select("s", "t", "n", F.lit(None).cast("double").alias("cost"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans import syntax as S
 from ..plans.compile import Compiler, Typed
 from ..plans.lexer import QueryError
-from .match import Matcher, conjuncts, used_properties
+from .match import WEIGHT, Matcher, conjuncts, used_properties
 from .scope import Bound, Scope
 
 if TYPE_CHECKING:
@@ -76,7 +76,7 @@ def _inner(session: Session, scope: Scope, sub: S.Subquery, params: dict) -> tup
     shared = sorted(v for v in mine if v in scope.vars)
     outer = sorted(v for v in names_in(sub.where) | {n for p in sub.patterns for x in (*p.nodes, *p.rels) for e in x.props.values() for n in names_in(e)} if v in scope.vars and v not in mine)
     used = used_properties([S.Match(sub.patterns, sub.where, False)])
-    matcher = Matcher(session, used, params)
+    matcher = Matcher(session, used, params, weigh=True)
     # with two ends or more the outer rows bound the search: alone it would pair all ends of the graph
     if outer or len(shared) > 1 or any(scope.vars[v].kind != "node" for v in shared):
         tied = [c for v in (*shared, *outer) for c in scope.vars[v].columns() if c in scope.df.columns]
@@ -116,7 +116,8 @@ def attach(session: Session, scope: Scope, exprs: list, params: dict):
             continue
         inner, keys = _inner(session, out, sub, params)
         name = f"__q{next(_fresh)}"
-        grouped = inner.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(name)) if keys else inner.agg(F.count(F.lit(1)).alias(name))
+        rows = F.coalesce(F.sum(WEIGHT), F.lit(0)) if WEIGHT in inner.columns else F.count(F.lit(1))
+        grouped = inner.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(rows.alias(name)) if keys else inner.agg(rows.alias(name))
         out.df = _joined(out, grouped, keys, "left", [name])
         n = F.coalesce(F.col(name), F.lit(0).cast("long"))
         out.df = out.df.withColumn(name, n if sub.kind == "COUNT" else n > 0)

@@ -383,11 +383,15 @@ class Compiler:
         return self.typed(F.rand(self.session.seed) if self.session.seed is not None else F.rand())
 
     # --- aggregates, when the projection has asked for them
+    def _number(self, c: Column) -> Column:
+        """How many matches have a value; rows may stand for several of them."""
+        if "__weight" not in self.scope.df.columns:
+            return F.count(c)
+        return F.coalesce(F.sum(F.when(c.isNotNull(), F.col("__weight"))), F.lit(0)).cast("long")
+
     def aggregate(self, e: S.Call) -> Column:
         if e.name == "COUNT_STAR":
-            if "__weight" in self.scope.df.columns:  # rows stand for several matches
-                return F.coalesce(F.sum("__weight"), F.lit(0)).cast("long")
-            return F.count(F.lit(1))
+            return self._number(F.lit(1))
         if any(contains_aggregate(a) for a in e.args):
             raise QueryError("aggregates can't be nested")
         (of,) = e.args
@@ -396,11 +400,11 @@ class Compiler:
             one = {"node": "_key", "rel": "_rid" if e.distinct else "_src", "walk": "_length"}[b.kind]
             if e.distinct and b.kind == "node":
                 return F.count_distinct(F.when(b.col("_key").isNotNull(), F.struct(b.col("_label"), b.col("_key"))))
-            return F.count_distinct(b.col(one)) if e.distinct else F.count(b.col(one))
+            return F.count_distinct(b.col(one)) if e.distinct else self._number(b.col(one))
         t = self.compile(of)
         c = t.col
         if e.name == "COUNT":
-            return F.count_distinct(c) if e.distinct else F.count(c)
+            return F.count_distinct(c) if e.distinct else self._number(c)
         if e.name == "COLLECT":
             return F.collect_set(c) if e.distinct else F.collect_list(F.struct(c.alias("x"))).getField("x") if self.session.follower else F.collect_list(c)
         if e.name in ("SUM", "AVG"):

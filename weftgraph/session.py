@@ -130,7 +130,7 @@ class Session:
         if isinstance(clause, S.Match):
             if clause.optional:
                 return subquery.optional(self, scope, clause, used, params)
-            found = Matcher(self, used, params, folds).match(clause.patterns, scope, clause.hint)
+            found = Matcher(self, used, params, folds, where=clause.where).match(clause.patterns, scope, clause.hint)
             return subquery.where(self, found, clause.where, params)
         if isinstance(clause, S.With):
             return project(self, scope, clause.body, params, False)
@@ -175,7 +175,7 @@ class Session:
     def timed(self, statement: Any, params: dict) -> DataFrame:
         began = time.time()
         df = self.run(statement, params)
-        n = df.count()
+        n = df._jdf.queryExecution().toRdd().count()  # the very plan of the frame, whose metrics fill in
         self.profile = {"seconds": time.time() - began, "rows": n}
         return df
 

@@ -19,6 +19,8 @@ from .sources.files import read, write
 from .storage import materialise
 
 if TYPE_CHECKING:
+    from collections.abc import Iterator
+
     from .session import Session
 
 _READS = {"EXPLAIN", "PROFILE", "COMMIT", "ROLLBACK", "BEGIN", "SETTING", "COPY TO", "EXPORT", "USE", "CHECKPOINT"}
@@ -396,8 +398,28 @@ def _explain(session: Session, params: dict, logical: bool, of: Any) -> DataFram
 
 def _profile(session: Session, params: dict, of: Any) -> DataFrame:
     df = session.timed(of, params)
-    plan = df._jdf.queryExecution().toString()
-    return session.spark.createDataFrame([(plan, session.profile["seconds"], session.profile["rows"])], "`plan` string, seconds double, rows long")
+    done = df._jdf.queryExecution()
+    row = (done.toString(), session.profile["seconds"], session.profile["rows"], list(_operators(done.executedPlan(), 0)))
+    return session.spark.createDataFrame([row], "`plan` string, seconds double, rows long, operators array<struct<depth: int, name: string, rows: bigint, metrics: map<string, bigint>>>")
+
+
+#: Plan nodes that only hold other ones, and the method that gives what they hold (fixed names of Spark's classes).
+_HOLDERS = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "TableCacheQueryStageExec": "plan", "ResultQueryStageExec": "plan", "WholeStageCodegenExec": "child", "InputAdapter": "child"}
+
+
+def _operators(plan: Any, depth: int) -> Iterator[tuple[int, str, int | None, dict[str, int]]]:
+    """(depth, name, rows put out, all metrics) of each physical operator of a plan that has run, from the top."""
+    kind = plan.getClass().getSimpleName()
+    if kind in _HOLDERS:
+        yield from _operators(getattr(plan, _HOLDERS[kind])(), depth)
+        return
+    found, each = {}, plan.metrics().iterator()
+    while each.hasNext():
+        pair = each.next()
+        found[pair._1()] = max(0, pair._2().value())
+    yield depth, plan.nodeName(), found.get("numOutputRows"), found
+    for i in range(plan.children().size()):
+        yield from _operators(plan.children().apply(i), depth + 1)
 
 
 def _extension(session: Session, params: dict, action: str, name: str) -> DataFrame:
