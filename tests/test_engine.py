@@ -53,7 +53,7 @@ def loops(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("round(1e17, 3)", 1e17), ("floor(1e300)", 1e300), ("ceil(-1e300)", -1e300), ("even(1e19)", 1e19), ("even(-2.5)", -4.0), ("round(-2.5, 0)", -3.0), ("round(12345.678, -2)", 12300.0), ("floor(-0.5)", -1.0), ("to_string(ceil(-0.5))", "-0.0"), ("to_string(floor(0.5))", "0.0"), ("ceil(0.5)", 1.0), ("ceil(null)", None), ("5.0 / 0", float("inf")), ("-5.0 / 0", float("-inf")), ("to_string(0.0 / 0)", "NaN"), ("to_string(5.0 % 0)", "NaN"), ("7.5 % 2", 1.5), ("null / 0.0", None),
+        ("round(1e17, 3)", 1e17), ("floor(1e300)", 1e300), ("ceil(-1e300)", -1e300), ("even(1e19)", 1e19), ("even(-2.5)", -4.0), ("round(-2.5, 0)", -3.0), ("round(12345.678, -2)", 12300.0), ("floor(-0.5)", -1.0), ("to_string(ceil(-0.5))", "-0.000000"), ("to_string(floor(0.5))", "0.000000"), ("ceil(0.5)", 1.0), ("ceil(null)", None), ("5.0 / 0", float("inf")), ("-5.0 / 0", float("-inf")), ("to_string(0.0 / 0)", "NaN"), ("to_string(5.0 % 0)", "NaN"), ("7.5 % 2", 1.5), ("null / 0.0", None),
         ("7 / 2", 3), ("-7 / 2", -3), ("7 / 2.0", 3.5), ("2 ^ 3", 8.0), ("-7 % 3", -1), ("log(100)", 2.0), ("5!", 120), ("1 + 2 * 3", 7), ("-2 ^ 2", 4.0), ("6 & 3", 2), ("6 | 3", 7), ("1 << 4", 16),
         ("concat('a', null, 'b')", "ab"), ("'x' + null", "x"), ("[1] + [2]", [1, 2]), ("substr('hello', 0, 2)", ""), ("left('hello', -2)", "hel"), ("right('hello', -2)", "llo"), ("initcap('hELLO wO')", "Hello wo"),
         ("string_split('a.b.c', '.')", ["a", "b", "c"]), ("split_part('a-b', '-', 3)", ""), ("array_extract('abc', -1)", "c"), ("regexp_replace('aXbX', 'X', '-')", "a-bX"), ("regexp_replace('aXbX', '(X)', '<\\\\1>', 'g')", "a<X>b<X>"),
