@@ -609,6 +609,21 @@ def test_branches_are_ranked_by_score(spark):
     assert got == {(1, 1): [1, 2, 4], (1, 2): [1, 3, 5], (2, 1): [1], (3, 1): list(range(1, 40))}
 
 
+def test_trees_with_nulls_and_repeated_rows(spark):
+    """Each message stands once in its path, whatever repeats; nulls count as empty; columns may have any names."""
+    kind = "tree long, msg long, parent long, role string, text string, score double, rank string, t long"
+    messages = [(1, 1, None, "user", "q", None), (1, 1, None, "user", "q", None), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 2, None, None, 0.0), (1, 3, 2, None, None, 0.0), (1, None, 1, "user", "lost", 9.0), (None, 1, None, "user", "", 0.0)]
+    df = spark.createDataFrame([(*m, "x", 7) for m in messages], kind)
+    back = {r.tree: [tuple(t) for t in r.turns] for r in chat.read_back(chat.format_trees(df)).collect()}
+    assert back == {1: [("user", "q"), ("assistant", "a"), ("", "")], None: [("user", "")]}
+    assert chat.format_trees(df.limit(0)).count() == 0 == chat.paths(df.limit(0)).count()
+
+
+def test_ties_go_to_the_smaller_leaf(spark):
+    df = spark.createDataFrame([(1, 1, None, "user", "q", 0.0), (1, 3, 1, "assistant", "c", 2.0), (1, 2, 1, "assistant", "b", 2.0)], "tree long, msg long, parent long, role string, text string, score double")
+    assert [r.turns[1].text for r in chat.read_back(chat.format_trees(df, 2)).orderBy("branch").collect()] == ["b", "c"]
+
+
 def test_replies_in_a_circle(spark):
     df = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)], "tree long, msg long, parent long, role string, text string, score double")
     with pytest.raises(ValueError, match="circle"):
@@ -697,6 +712,6 @@ def test_empty_tables(spark, empty):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     for df in (
         simhash.near_duplicates(empty), quality.measure(empty), pii.find(empty), repair.round_trip(empty), token_counts.token_counts(empty), lm_score.score(empty),
-        decontaminate.contaminated(empty, bench), chat.conversation_digests(turns), toxicity.score(empty, labels), bpe.encode_digests(empty), simhash.keep_one(empty), quality.keep_good(empty), pii.mask(empty), bpe.with_ids(empty),
+        decontaminate.contaminated(empty, bench), chat.conversation_digests(turns), toxicity.score(empty, labels), bpe.encode_digests(empty), simhash.keep_one(empty), quality.keep_good(empty), pii.mask(empty), bpe.with_ids(empty), decontaminate.drop_contaminated(empty, bench),
     ):
         assert df.count() == 0

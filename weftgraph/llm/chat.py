@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, own_name
 
 HEAD, TAIL = "### ", "</turn>\n"
 #: Escapes, in the order in which they are applied (fixed values).
@@ -51,13 +51,26 @@ def as_reply_trees(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return rows.select("tree", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _once(messages: DataFrame) -> DataFrame:
+    """One row for each message of a tree: the least by parent, score, role and text, nulls first."""
+    rank = own_name(messages, "rank")
+    order = W.partitionBy("tree", "msg").orderBy(*[c for c in ("parent", "score", "role", "text") if c in messages.columns])
+    return messages.where("msg IS NOT NULL").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+
+
 def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(tree, branch, at, msg) of the best `per_tree` root-to-leaf paths of each tree.
 
-    A branch's score is the sum of the scores on its path; ties go to the smaller leaf. `at` counts from 1 at
-    the root. A message whose parent isn't in its tree counts as a root. A null tree is a tree of its own.
-    Replies in a circle raise ValueError.
+    A branch's score is the sum of the scores on its path, null scores count as zero; ties go to the smaller leaf.
+    `at` counts from 1 at the root. A message whose parent isn't in its tree counts as a root. A null tree is a
+    tree of its own. Of rows with the same tree and msg the least one (by parent, score, role, text) stands; rows
+    with a null msg have no place in a tree and are left out. An empty table gives an empty result, other columns
+    are ignored. Replies in a circle raise ValueError.
     """
+    return _paths(_once(messages), per_tree)
+
+
+def _paths(messages: DataFrame, per_tree: int) -> DataFrame:
     node = messages.select("tree", "msg", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     there = node.select(F.col("tree").alias("t"), F.col("msg").alias("p")).distinct()
     node = node.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
@@ -95,10 +108,18 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 def format_trees(messages: DataFrame, per_tree: int = 1, trained_role: str = "assistant") -> DataFrame:
     """(tree, branch, formatted, mask): one formatted conversation per chosen path.
 
-    mask holds (start, length) in code points of the escaped texts of the trained role in `formatted`.
+    mask holds (start, length) in code points of the escaped texts of the trained role in `formatted`. A null role
+    or text counts as empty; an empty text is a turn like any other. Repeated rows, null ids, ties, empty tables and
+    other columns are treated as in `paths`.
     """
-    turn = messages.select(F.col("tree").alias("t"), F.col("msg").alias("m"), "role", "text")
-    on = paths(messages, per_tree).join(turn, F.col("tree").eqNullSafe(F.col("t")) & (F.col("msg") == F.col("m")))
+    return _formatted(_once(messages), per_tree, trained_role)
+
+
+def _formatted(messages: DataFrame, per_tree: int = 1, trained_role: str = "assistant") -> DataFrame:
+    """format_trees() of messages that are known to be there once."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    turn = messages.select(F.col("tree").alias("t"), F.col("msg").alias("m"), *said)
+    on = _paths(messages, per_tree).join(turn, F.col("tree").eqNullSafe(F.col("t")) & (F.col("msg") == F.col("m")))
     head = F.concat(F.lit(HEAD), _escape(F.col("role"), ROLE_ESCAPES), F.lit(": "))
     on = on.select("tree", "branch", "at", F.col("role").eqNullSafe(trained_role).alias("trained"), head.alias("head"), _escape(F.col("text")).alias("body"))
     on = on.withColumn("size", F.length("head") + F.length("body") + len(TAIL))
@@ -130,7 +151,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     A null text or role counts as empty. A null conv_id is a conversation of its own. An empty table gives an
     empty result. Other columns are ignored.
     """
-    back = read_back(format_trees(as_reply_trees(turns)))
+    back = read_back(_formatted(as_reply_trees(turns)))  # numbered there, so no message repeats
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
