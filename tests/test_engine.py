@@ -1,6 +1,7 @@
 """Small graphs, one per trap of the language."""
 
 import datetime as dt
+import pathlib
 
 import pytest
 
@@ -294,3 +295,25 @@ def test_line_breaks_in_quotes_anywhere_in_any_file(spark, tmp_path):
     for names, n in ((["b.csv"], 601), (["a.csv", "b.csv"], 611)):
         got = read_csv(s, [str(tmp_path / x) for x in names], {"header": False}, []).collect()
         assert len(got) == n and ("two\nlines" in {r[1] for r in got})
+
+
+# --- sizes
+def test_copied_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Keys in order take far less in Parquet than in memory: ends are looked up without broadcasting their table."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    s = graph(spark, "CREATE NODE TABLE A(id INT64, PRIMARY KEY(id)); CREATE NODE TABLE B(id INT64, PRIMARY KEY(id)); CREATE REL TABLE R(FROM A TO B)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        s.query("COPY A FROM (UNWIND range(0, 9) AS x RETURN x)")
+        s.query("COPY B FROM (UNWIND range(0, 299999) AS x RETURN x)")
+        s.query("COPY R FROM (UNWIND range(0, 299999) AS x RETURN x % 10, x)")
+        a, b, r = s.catalog.nodes["A"].df, s.catalog.nodes["B"].df, s.catalog.rels["R"].frames["A", "B"]
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert sum(f.stat().st_size for f in map(pathlib.Path, (x.removeprefix("file://") for x in b.inputFiles()))) < 1 << 20
+        assert "Broadcast" not in plan(r.join(b, r["_dst"] == b["id"], "left_anti"))
+        assert "Broadcast" in plan(r.join(a, r["_src"] == a["id"], "left_anti"))  # a small one still is, also beside a large one
+        assert one(s, "MATCH (a:A)-[:R]->(b:B) WHERE b.id > 299997 RETURN count(*) AS n, min(a.id) AS low") == (2, 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    with pytest.raises(QueryError, match="Unable to find primary key value"):
+        s.query("COPY R FROM (RETURN 3, 300000)")

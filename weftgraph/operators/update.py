@@ -17,7 +17,7 @@ from ..plans import syntax as S
 from ..plans.compile import Compiler
 from ..plans.lexer import QueryError
 from ..plans.types import cast
-from ..storage import materialise
+from ..storage import materialise, sized
 
 from .match import Matcher, used_properties
 from .scope import Bound, Scope
@@ -112,14 +112,14 @@ def check_keys(table: NodeTable, new: DataFrame) -> None:
 
 def append_nodes(session: Session, table: NodeTable, new: DataFrame) -> None:
     check_keys(table, new)
-    table.df = materialise(table.df.unionByName(new.select(*table.df.columns)))
+    table.df = sized(materialise(table.df.unionByName(new.select(*table.df.columns))))
 
 
 def with_ids(table: RelTable, pair: tuple[str, str]) -> DataFrame:
     """The frame with an identity of each relationship, fixed from now on."""
     df = table.frames[pair]
     if "_rid" not in df.columns:
-        df = table.frames[pair] = materialise(df.withColumn("_rid", F.monotonically_increasing_id()))
+        df = table.frames[pair] = sized(materialise(df.withColumn("_rid", F.monotonically_increasing_id())))
     return df
 
 
@@ -133,7 +133,7 @@ def append_rels(session: Session, table: RelTable, pair: tuple[str, str], new: D
     old = with_ids(table, pair)
     if "_rid" not in new.columns:
         new = new.withColumn("_rid", F.monotonically_increasing_id() + F.lit(_id_base(session)))
-    table.frames[pair] = materialise(old.unionByName(new.select(*old.columns)))
+    table.frames[pair] = sized(materialise(old.unionByName(new.select(*old.columns))))
     sides = {"MANY_ONE": ["_src"], "ONE_MANY": ["_dst"], "ONE_ONE": ["_src", "_dst"]}.get(table.multiplicity, [])
     for side in sides:
         bad = table.frames[pair].groupBy(side).count().where("count > 1").first()
@@ -254,7 +254,7 @@ def _set_node(session: Session, table: NodeTable, df: DataFrame, b: Bound, prop:
         clash = changes.where("NOT (k <=> v)").join(others.select(F.col(f"`{table.key}`").alias("v")), "v", "left_semi").first()
         if clash:
             raise QueryError(f"Found duplicated primary key value {clash.v}, which violates the uniqueness constraint of the primary key column.")
-    table.df = materialise(_overwritten(table.df, changes, table.key, prop))
+    table.df = sized(materialise(_overwritten(table.df, changes, table.key, prop)))
     if prop == table.key:
         for rel in session.catalog.rels.values():
             for pair, frame in list(rel.frames.items()):
@@ -262,7 +262,7 @@ def _set_node(session: Session, table: NodeTable, df: DataFrame, b: Bound, prop:
                     if label == table.name:
                         frame = _overwritten(with_ids(rel, pair) if frame is rel.frames[pair] else frame, changes, side, side)
                 if table.name in pair:
-                    rel.frames[pair] = materialise(frame)
+                    rel.frames[pair] = sized(materialise(frame))
 
 
 def _set_rel(table: RelTable, df: DataFrame, b: Bound, prop: str, new: str) -> None:
@@ -270,7 +270,7 @@ def _set_rel(table: RelTable, df: DataFrame, b: Bound, prop: str, new: str) -> N
         return
     changes = df.where((b.col("_label") == table.name) & b.col("_src").isNotNull()).select(b.col("_rid").alias("k"), F.col(new).alias("v"))
     for pair in list(table.frames):
-        table.frames[pair] = materialise(_overwritten(with_ids(table, pair), changes, "_rid", prop))
+        table.frames[pair] = sized(materialise(_overwritten(with_ids(table, pair), changes, "_rid", prop)))
 
 
 # --- DELETE
@@ -290,7 +290,7 @@ def delete(session: Session, clause: S.Delete, scope: Scope) -> Scope:
                 gone = scope.df.where(b.col("_label") == name).select(b.col("_rid").alias("_rid")).distinct()
                 for pair in list(table.frames):
                     rows = with_ids(table, pair)
-                    table.frames[pair] = materialise(rows.join(gone, "_rid", "left_anti").select(*rows.columns))
+                    table.frames[pair] = sized(materialise(rows.join(gone, "_rid", "left_anti").select(*rows.columns)))
         elif b.kind == "node":
             for label in b.labels:
                 _delete_nodes(session, catalog.nodes[label], scope.df.where((b.col("_label") == label) & b.col("_key").isNotNull()).select(b.col("_key").alias("k")).distinct(), clause.detach)
@@ -307,10 +307,10 @@ def _delete_nodes(session: Session, table: NodeTable, gone: DataFrame, detach: b
                     continue
                 rows = rel.frames[pair]
                 if detach:
-                    rel.frames[pair] = materialise(rows.join(gone, rows[side] == gone["k"], "left_anti"))
+                    rel.frames[pair] = sized(materialise(rows.join(gone, rows[side] == gone["k"], "left_anti")))
                 elif not session.follower and (hit := rows.join(gone, rows[side] == gone["k"], "left_semi").first()):
                     raise QueryError(f"Node(nodeOffset: {hit[side]}) has connected edges in table {rel.name} in the {'fwd' if side == '_src' else 'bwd'} direction, which cannot be deleted. Please delete the edges first or try DETACH DELETE.")
-    table.df = materialise(table.df.join(gone, table.df[table.key] == gone["k"], "left_anti"))
+    table.df = sized(materialise(table.df.join(gone, table.df[table.key] == gone["k"], "left_anti")))
 
 
 # --- MERGE

@@ -31,7 +31,7 @@ def _numbered_alike(df: DataFrame) -> bool:
     """Whether rows are numbered alike each time: the frame is a scan with projections and filters at most."""
     lines = df._jdf.queryExecution().analyzed().treeString().splitlines()
     names = {m.group(1) for line in lines if (m := re.match(r"[\s:+\-|]*(\w+)", line))}
-    return names <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias", "View", "Union"}
+    return names <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias", "View", "Union", "ResolvedHint"}
 
 
 class Session:
