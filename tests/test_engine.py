@@ -317,3 +317,19 @@ def test_copied_tables_are_not_broadcast_by_the_size_of_their_files(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     with pytest.raises(QueryError, match="Unable to find primary key value"):
         s.query("COPY R FROM (RETURN 3, 300000)")
+
+
+def test_pairs_with_two_neighbours_in_common_are_not_made_for_one_alone(spark):
+    """300 nodes of one group, each with an item of its own and two with a further one: no join gives all pairs of the group."""
+    s = graph(
+        spark, "CREATE NODE TABLE G(id INT64, PRIMARY KEY(id)); CREATE NODE TABLE A(id INT64, PRIMARY KEY(id)); CREATE NODE TABLE I(id INT64, PRIMARY KEY(id)); CREATE REL TABLE OF(FROM A TO G, MANY_ONE); CREATE REL TABLE HAS(FROM A TO I)",
+        "COPY G FROM (UNWIND [1, 2] AS x RETURN x); COPY A FROM (UNWIND range(0, 299) AS x RETURN x); COPY I FROM (UNWIND range(0, 300) AS x RETURN x)",
+        "COPY OF FROM (UNWIND range(0, 299) AS x RETURN x, CASE WHEN x = 299 THEN 2 ELSE 1 END)", "COPY HAS FROM (UNWIND range(0, 299) AS x RETURN x AS s, x AS t UNION ALL UNWIND [7, 9, 299] AS x RETURN x AS s, 300 AS t)",
+    )
+    match = "MATCH (a:A)-[:OF]->(g:G)<-[:OF]-(b:A), (a)-[:HAS]->(i:I)<-[:HAS]-(b) WHERE a.id < b.id"
+    assert values(s.query(f"{match} RETURN g.id AS g, a.id AS a, b.id AS b, i.id AS i")) == [(1, 7, 9, 300)]
+    assert one(s, f"{match} RETURN g.id AS g, count(*) AS n") == (1, 1)
+    assert one(s, match.replace("(a:A)-[:OF]->(g:G)<-[:OF]-(b:A)", "(a:A)-[x:OF]->(g:G)<-[y:OF]-(b:A)") + " RETURN count(DISTINCT x) AS n, label(y) AS l") == (1, "OF")
+    assert one(s, "MATCH (g:G {id: 1})<-[:OF]-(b:A)-[:HAS]->(i:I)<-[:HAS]-(a:A)-[:OF]->(g) WHERE a.id < b.id RETURN a.id AS a, b.id AS b, i.id AS i") == (7, 9, 300)
+    profile = s.query(f"PROFILE {match} RETURN a.id AS a, b.id AS b").first()
+    assert max(o.rows or 0 for o in profile.operators) < 1000

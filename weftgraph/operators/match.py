@@ -3,6 +3,8 @@
 Labels are narrowed by the ends of the relationships first. Then the pattern is walked from what is bound, or
 from the most selective node: each relationship is one equi-join on the key of its bound end, and its other end
 is joined only if something of it other than its key is asked for (its key is on the relationship already).
+In a cycle, relationships that a new node has at most one of are followed from that node and not towards it; where
+they end at bound nodes they are joined to the node's way in first, so that both ends are keys of one join.
 Join order beyond that, pushdown and strategy are Catalyst's.
 """
 
@@ -269,16 +271,24 @@ class Matcher:
         if unknown := set(wish) - set(nodes) - {e.var for e in edges}:
             raise QueryError(f"Cannot bind {min(unknown)} to a node or relationship of the pattern.")
         turn = lambda e: min(wish.get(x, len(wish)) for x in (e.var, e.a, e.b)) if e.var not in wish else wish[e.var]
+        first = turn if wish else lambda e: self._waits(e, left, nodes, out)
+        broad = scope.df is None and not wish  # bound rows may be few, and hints give an order
         while left or todo:
             closing = [e for e in left if e.a in out.vars and e.b in out.vars]
-            step = min(closing or [e for e in left if e.a in out.vars or e.b in out.vars], key=turn, default=None)
+            step = min(closing, key=turn, default=None) or min([e for e in left if e.a in out.vars or e.b in out.vars], key=first, default=None)
             if step is None:
                 start = min(todo, key=lambda n: (wish.get(n, len(wish)), *self._rank(nodes[n], left)))
+                broad = broad and self._rank(nodes[start], left)[0] > 0
                 self._start(nodes[start], out)
                 todo.remove(start)
                 continue
             left.remove(step)
-            (self._recur if step.pattern.recursion else self._extend)(step, nodes, out)
+            if step.pattern.recursion:
+                self._recur(step, nodes, out)
+            else:
+                at_once = self._single_ends(step, left, nodes, out) if broad else []
+                left = [e for e in left if e not in at_once]
+                self._extend(step, nodes, out, at_once)
             todo = [n for n in todo if n not in out.vars]
         for n in [n for n in folded if n in out.vars]:
             for e, b in folded[n]:
@@ -343,6 +353,30 @@ class Matcher:
             out = one if out is None else out & one
         return out
 
+    def _single(self, e: EdgeSpec, n: str, nodes: dict[str, NodeSpec]) -> bool:
+        """Whether a node of the variable has one such relationship at most, by the table's multiplicity."""
+        fit = [] if e.pattern.recursion or e.a == e.b else self.pairs(e, nodes[e.a].labels, nodes[e.b].labels)
+        if len(fit) != 1:
+            return False
+        table, _, back = fit[0]
+        return self.catalog.rels[table].multiplicity in ("ONE_ONE", "MANY_ONE" if (n == e.a) != back else "ONE_MANY")
+
+    def _waits(self, e: EdgeSpec, left: list[EdgeSpec], nodes: dict[str, NodeSpec], out: Scope) -> bool:
+        """Whether the relationship leads to a node that has one at most, and that others lead to as well."""
+        far = e.b if e.a in out.vars else e.a
+        if not self._single(e, far, nodes):
+            return False
+        seen, grown = set(out.vars), True
+        while grown:
+            more = {n for x in left if x is not e and (x.a in seen or x.b in seen) for n in (x.a, x.b)}
+            grown, seen = bool(more - seen), seen | more
+        return far in seen
+
+    def _single_ends(self, e: EdgeSpec, left: list[EdgeSpec], nodes: dict[str, NodeSpec], out: Scope) -> list[EdgeSpec]:
+        """What the new node at the end of `e` has one of at most and that ends at bound nodes."""
+        far = next((n for n in (e.a, e.b) if n not in out.vars), None)
+        return [x for x in left if far in (x.a, x.b) and (x.a in out.vars or x.b in out.vars) and self._single(x, far, nodes)]
+
     def _start(self, spec: NodeSpec, out: Scope) -> None:
         b = self.node_bound(spec.var, spec.labels)
         df = self.node_frame(b)
@@ -357,7 +391,8 @@ class Matcher:
         out.df = df if out.df is None else out.df.crossJoin(df)
         out.vars[spec.var] = b
 
-    def _extend(self, e: EdgeSpec, nodes: dict[str, NodeSpec], out: Scope) -> None:
+    def _edge(self, e: EdgeSpec, nodes: dict[str, NodeSpec], out: Scope) -> tuple[Bound, DataFrame, Column | None]:
+        """The relationship's frame and what joins it to the ends that are bound."""
         b = self.rel_bound(e)
         v = e.var
         frame = self.rel_frame(e, b, nodes)
@@ -365,17 +400,28 @@ class Matcher:
             raise QueryError(f"Bind relationship {v} to relationship with same name is not supported.")
         if e.pattern.props:
             frame = frame.where(self._inline(v, e.pattern.props, Scope(frame, {v: b})))
-        ends = [(e.a, "_from", "_flabel"), (e.b, "_to", "_tlabel")]
         on = None
-        for n, key, label in ends:
+        for n, key, label in _ends(e):
             if n in out.vars:
                 held = out.vars[n]
                 one = held.col("_key") == F.col(f"`{v}${key}`")
                 if len(held.labels) > 1 or len({p[1][0 if key == "_from" else 1] for p in self.pairs(e, nodes[e.a].labels, nodes[e.b].labels)}) > 1:
                     one = one & (held.col("_label") == F.col(f"`{v}${label}`"))
                 on = one if on is None else on & one
+        return b, frame, on
+
+    def _extend(self, e: EdgeSpec, nodes: dict[str, NodeSpec], out: Scope, at_once: list[EdgeSpec] = ()) -> None:
+        """`at_once`: relationships between the new node and bound ones, joined by the same keys' join."""
+        v, ends = e.var, _ends(e)
+        b, frame, on = self._edge(e, nodes, out)
+        more = {}
+        for x in at_once:
+            more[x.var], other, also = self._edge(x, nodes, out)
+            (key, label), (key2, label2) = (next((k, lab) for n, k, lab in _ends(y) if n not in out.vars) for y in (e, x))
+            frame = frame.join(other, (F.col(f"`{v}${key}`") == F.col(f"`{x.var}${key2}`")) & (F.col(f"`{v}${label}`") == F.col(f"`{x.var}${label2}`")))
+            on = on & also
         joined = out.df.join(frame, on)
-        out.vars[v] = b
+        out.vars |= {v: b} | more
         for n, key, label in ends:
             if n not in out.vars:
                 spec = nodes[n]
@@ -398,7 +444,7 @@ class Matcher:
                 out.df = joined
                 if spec.props:
                     joined = joined.where(self._inline(n, spec.props, Scope(joined, out.vars)))
-        drop = [f"{v}${c}" for c in ("_from", "_to", "_flabel", "_tlabel")]
+        drop = [f"{x}${c}" for x in (v, *more) for c in ("_from", "_to", "_flabel", "_tlabel")]
         out.df = joined.drop(*drop)
 
     def _recur(self, e: EdgeSpec, nodes: dict[str, NodeSpec], out: Scope) -> None:
@@ -537,6 +583,10 @@ class Matcher:
         out.df = out.df.withColumn(path.var, F.struct(joined(node_parts).alias("_NODES"), joined(rel_parts).alias("_RELS")))
 
 
+def _ends(e: EdgeSpec) -> list[tuple[str, str, str]]:
+    return [(e.a, "_from", "_flabel"), (e.b, "_to", "_tlabel")]
+
+
 def _hinted(hint) -> list[str]:
     """The variables of a join hint in the order in which they are written: joins are made in that order."""
     if hint is None:
