@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -296,6 +297,21 @@ def test_a_document_is_read_from_the_symbols_around_it():
     assert shard.document(1777) == x[177_700:177_800].tolist() and looked[0] <= 2 * repair.SAMPLE
 
 
+def test_deep_rules_expand_without_passes_over_plain_ids():
+    base, deep, plain = 10, 5_000, 200_000
+    chain = np.arange(base - 1, base + deep - 1, dtype=np.int32)  # each rule is the one before and a 3, the first a 9 and a 3
+    grammar = repair.Grammar(base, chain, np.full(deep, 3, np.int32), np.arange(2, deep + 2, dtype=np.int32))
+    ids = np.arange(plain, dtype=np.int32) % base
+    began = time.process_time()
+    got = grammar.expand(np.concatenate((ids, np.array([base + deep - 1], np.int32), ids)))
+    assert time.process_time() - began < 2
+    assert np.array_equal(got, np.concatenate((ids, [9], np.full(deep, 3), ids)))
+    many = np.full(10_000, base + 49, np.int32)  # here the rules' ids are fewer than the result's
+    short = repair.Grammar(base, chain[:50], grammar.right[:50], grammar.lengths[:50])
+    assert np.array_equal(short.expand(many), np.tile([9] + [3] * 50, 10_000)) and len(short.expand(many[:0])) == 0
+
+
+
 def test_pairs_of_wide_symbols_are_grouped_without_packing():
     seq = np.array([7, 9, 7, 9, 7, 7], np.uint32)
     for most in (16, 1 << 31):

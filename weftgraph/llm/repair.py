@@ -147,18 +147,28 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of the symbols: each pass splits what is still a nonterminal into its two sides."""
-        while True:
+        """All ids of the symbols, from a table with the ids of every rule if that is no longer than the result."""
+        size = self.size(symbols)
+        ends = np.cumsum(size)
+        if not len(symbols) or int(self.lengths.sum()) > ends[-1]:
+            return self._spread(symbols)
+        every = np.arange(self.base + len(self.lengths), dtype=symbols.dtype)
+        width = self.size(every)
+        begin = np.cumsum(width) - width
+        return self._spread(every)[np.arange(ends[-1]) + np.repeat(begin[symbols] - (ends - size), size)]
+
+    def _spread(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids of the symbols: each pass places the ids and splits what is still a nonterminal into its two sides."""
+        size = self.size(symbols)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), symbols.dtype)
+        while len(symbols):
             ours = symbols >= self.base
-            if not ours.any():
-                return symbols
-            width = ours + 1
-            where = np.cumsum(width) - width
-            wider = np.empty(int(width.sum()), symbols.dtype)
-            wider[where] = symbols
-            rule, where = symbols[ours] - self.base, where[ours]
-            wider[where], wider[where + 1] = self.left[rule], self.right[rule]
-            symbols = wider
+            out[at[~ours]] = symbols[~ours]
+            rule, at = symbols[ours] - self.base, at[ours]
+            left = self.left[rule]
+            symbols, at = np.concatenate((left, self.right[rule])), np.concatenate((at, at + self.size(left)))
+        return out
 
     def between(self, symbols: list[int], begin: int, end: int) -> list[int]:
         """The ids from `begin` to before `end` of the symbols' expansion; rules outside are not looked at."""
